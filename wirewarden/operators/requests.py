@@ -1,6 +1,6 @@
 """Record-level projections and filters."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import strip_text, url_unquote, with_url_parts
 from ..schemas import HTTP_FIELDS, HTTP_METHODS, HTTP_RECORD
@@ -14,13 +14,15 @@ def parse_json_records(df: DataFrame, value: str = "value") -> DataFrame:
     """
     text = F.col(value).cast("string")
     # the corrupt-record column is the one sign that survives an object whose fields are all absent
-    schema = HTTP_RECORD.simpleString()[len("struct<"):-1] + ",_bad:string"
+    schema = T.StructType([*HTTP_RECORD.fields, T.StructField("_bad", T.StringType())])
     options = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
     rest = [c for c in df.columns if c != value and c not in HTTP_FIELDS]
     return (
         df.withColumn("_rec", F.from_json(text, schema, options))
         .withColumn("parsed", F.col("_rec").isNotNull() & F.col("_rec._bad").isNull())
-        .select(*rest, value, "parsed", *[F.col(f"_rec.{c}").alias(c) for c in HTTP_FIELDS])
+        .select(*rest, value, "parsed", *[
+            F.when(F.col("parsed"), F.col(f"_rec.{c}")).alias(c) for c in HTTP_FIELDS
+        ])
     )
 
 
