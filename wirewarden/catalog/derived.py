@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import url_quote
 from ..schemas import HTTP_FIELDS
+from ..session import spread
 
 QUOTED_FIELDS = ["referer", "host", "cookie", "uri", "user_agent", "content_type", "data"]
 # Every event whose id is a multiple of 97 carries an injected value in ``v``.
@@ -94,7 +95,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded requests, one per event."""
-    events, pages = table(spark, sf_dir, "events"), table(spark, sf_dir, "pages").select("page_id", "url")
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     sql = _fill(_REQUESTS, "spark").replace("{N}", str(pages.count()))
     sql = sql.replace("{events}", "events_in").replace("{pages}", "pages_in")
     events.createOrReplaceTempView("events_in")

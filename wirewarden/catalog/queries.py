@@ -9,7 +9,6 @@ from ..functions import (
     kv_name,
     kv_value,
     param_key,
-    strip_text,
     symbol_states,
     text_id,
     url_quote,
@@ -20,7 +19,6 @@ from ..operators import flows
 from ..operators.grouping import group_sequences, parameter_stats, sequence_stats, train_counts, with_min_support
 from ..operators.joins import join_models, latest_models, modelled, unmodelled
 from ..operators.requests import (
-    fill_empty,
     http_requests_only,
     normalize,
     parse_json_records,
@@ -135,7 +133,7 @@ def http_parse_response(spark, sf):
 
 @query
 def fill_empty_fields(spark, sf):
-    rows = fill_empty(_with_key(flows.parse_responses(flows.split_messages(derived.flow_raw(spark, sf)))))
+    rows = parse_flows(spark, sf).where("http_type = 'Response'")
     empty = [F.when(F.col(c) == "", 1).otherwise(0) for c in HTTP_FIELDS if c != "flow_time"]
     return rows.select("record_id", sum(empty[1:], empty[0]).alias("n_empty"), "status", "data")
 

@@ -142,9 +142,10 @@ GENERATORS = {
 def keep_last(df: DataFrame, entries: str) -> DataFrame:
     """Keep the last entry per key, inside the row.
 
-    Sorting the array by (key, position) puts the survivor of a key right
-    before the next key, which costs n log n per record, needs no shuffle and
-    works in a stream.
+    Most records repeat no key, which a hash set over the keys tells. For the
+    others, sorting the array by (key, position) puts the survivor of a key
+    right before the next key. That costs n log n per record at worst, needs no
+    shuffle and works in a stream.
     """
     placed = F.transform(
         entries,
@@ -153,15 +154,18 @@ def keep_last(df: DataFrame, entries: str) -> DataFrame:
             e["p_name"].alias("p_name"), e["value"].alias("value"),
         ),
     )
-    ordered = df.withColumn(entries, F.array_sort(placed))
-    follower = F.slice(F.col(entries), F.lit(2), F.size(entries))
-    paired = ordered.withColumn(
-        entries, F.arrays_zip(F.col(entries).alias("this"), follower.alias("next"))
+    keys = F.transform(entries, lambda e: e["key"])
+    ready = df.withColumns({
+        "_placed": placed, "_unique": F.size(F.array_distinct(keys)) == F.size(entries)
+    })
+    sorted_ = F.when(~F.col("_unique"), F.array_sort("_placed"))
+    ready = ready.withColumn("_sorted", sorted_)
+    paired = F.arrays_zip(
+        F.col("_sorted").alias("this"), F.slice("_sorted", F.lit(2), F.size("_sorted")).alias("next")
     )
-    last = F.filter(
-        entries, lambda z: z["next"].isNull() | (z["next"]["key"] != z["this"]["key"])
-    )
-    return paired.withColumn(entries, F.transform(last, lambda z: z["this"]))
+    last = F.filter(paired, lambda z: z["next"].isNull() | (z["next"]["key"] != z["this"]["key"]))
+    kept = F.when(F.col("_unique"), F.col("_placed")).otherwise(F.transform(last, lambda z: z["this"]))
+    return ready.withColumn(entries, kept).drop("_placed", "_unique", "_sorted")
 
 
 def explode_entries(df: DataFrame, carry, entries: Column, dedupe: bool = True) -> DataFrame:

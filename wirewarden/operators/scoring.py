@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import symbol_states
+from ..functions.symbols import DIGIT, LETTER
 
 _NEVER = float("-inf")
 
@@ -21,33 +22,44 @@ def _log(p: Column) -> Column:
 
 
 def with_score_parameters(models: DataFrame) -> DataFrame:
-    """Add the logarithms once per model: ``lp`` start, ``lt`` transitions by
-    destination state, ``em`` emission terms."""
+    """Add what scoring reads, once per model: ``lp`` log start, ``tt``
+    transitions by destination state, ``lt`` their logs, ``em`` emission terms."""
     states = F.sequence(F.lit(0), F.col("n_components") - 1)
-    return models.withColumns({
+    turned = F.transform(states, lambda j: F.transform("transmat", lambda row: F.element_at(row, j + 1)))
+    return models.withColumn("tt", turned).withColumns({
         "lp": F.transform("startprob", _log),
-        "lt": F.transform(
-            states,
-            lambda j: F.transform("transmat", lambda row: _log(F.element_at(row, j + 1))),
-        ),
+        "lt": F.transform("tt", lambda into: F.transform(into, _log)),
         "em": F.zip_with(
             "means", "vars",
-            lambda m, v: F.struct(
-                m.alias("mean"),
-                (F.lit(-0.5) * F.log(F.lit(2 * math.pi) * v)).alias("norm"),
-                (F.lit(0.5) / v).alias("half"),
-            ),
+            lambda m, v: _emission_terms(m, v),
         ),
     })
 
 
+def _emission_terms(mean: Column, variance: Column) -> Column:
+    """Density terms of one state, and its value at the two frequent symbols."""
+    norm, half = F.lit(-0.5) * F.log(F.lit(2 * math.pi) * variance), F.lit(0.5) / variance
+
+    def at(symbol):
+        dev = F.lit(float(ord(symbol))) - mean
+        return norm - dev * dev * half
+
+    return F.struct(
+        mean.alias("mean"), norm.alias("norm"), half.alias("half"),
+        at(DIGIT).alias("digit"), at(LETTER).alias("letter"),
+    )
+
+
 def _let(value: Column, body) -> Column:
     """Bind a value once inside a lambda: body(value) without repeating it."""
     return F.transform(F.array(value), body)[0]
 
 
 def _emission(e: Column, x: Column) -> Column:
-    return e["norm"] - (x - e["mean"]) * (x - e["mean"]) * e["half"]
+    rare = e["norm"] - (x - e["mean"]) * (x - e["mean"]) * e["half"]
+    return (
+        F.when(x == ord(DIGIT), e["digit"]).when(x == ord(LETTER), e["letter"]).otherwise(rare)
+    )
 
 
 def _log_sum(values: Column) -> Column:
@@ -58,10 +70,58 @@ def _log_sum(values: Column) -> Column:
     return _let(values, lambda v: _let(F.array_max(v), lambda m: shifted(v, m)))
 
 
-def log_likelihood(states: Column) -> Column:
-    """Forward recursion over the columns of ``with_score_parameters``."""
-    lp, lt, em = F.col("lp"), F.col("lt"), F.col("em")
-    first = F.zip_with(lp, em, lambda p, e: p + _emission(e, states[0]))
+def _single_state(symbols: Column) -> Column:
+    """One state leaves nothing to choose: the emissions add up, and equal
+    symbols add up to a product, so only rare symbols are visited."""
+    e = F.col("em")[0]
+    n = F.length(symbols).cast("double")
+
+    def far(x):
+        return (x - e["mean"]) * (x - e["mean"])
+
+    letters, digits = (F.length(symbols) - F.length(F.translate(symbols, c, "")) for c in (LETTER, DIGIT))
+    others = F.aggregate(
+        symbol_states(F.translate(symbols, LETTER + DIGIT, "")), F.lit(0.0), lambda s, x: s + far(x)
+    )
+    none_left = letters + digits == F.length(symbols)
+    common = letters * far(F.lit(float(ord(LETTER)))) + digits * far(F.lit(float(ord(DIGIT))))
+    return n * e["norm"] - e["half"] * (common + F.when(none_left, F.lit(0.0)).otherwise(others))
+
+
+def _two_states(states: Column) -> Column:
+    """The recursion written out for the most frequent size above one.
+
+    With r = exp(b - a), log(exp(a)P + exp(b)Q) is a + log(P + rQ): one
+    exponential and one logarithm per state. Where r leaves the range of a
+    double the sum is formed in log space.
+    """
+    lt, tt, em = F.col("lt"), F.col("tt"), F.col("em")
+
+    def log_add(a, b):
+        top = F.greatest(a, b)
+        return F.when(top == _NEVER, top).otherwise(top + F.log1p(F.exp(F.least(a, b) - top)))
+
+    def into(j, alpha, x):
+        a, b = alpha["a"], alpha["b"]
+        near = a + F.log(tt[j][0] + tt[j][1] * F.exp(b - a))
+        u, v = a + lt[j][0], b + lt[j][1]
+        # exp(-40) is below the last bit of the larger term
+        far = F.when(F.abs(u - v) > 40, F.greatest(u, v)).otherwise(log_add(u, v))
+        return F.when(F.abs(b - a) < 700, near).otherwise(far) + _emission(em[j], x)
+
+    first = F.struct(*[
+        (F.col("lp")[j] + _emission(em[j], states[0])).alias(n) for j, n in enumerate("ab")
+    ])
+    rest = F.slice(states, F.lit(2), F.size(states))
+    last = F.aggregate(
+        rest, first, lambda alpha, x: F.struct(into(0, alpha, x).alias("a"), into(1, alpha, x).alias("b"))
+    )
+    return _let(last, lambda v: log_add(v["a"], v["b"]))
+
+
+def _any_states(states: Column) -> Column:
+    lt, em = F.col("lt"), F.col("em")
+    first = F.zip_with(F.col("lp"), em, lambda p, e: p + _emission(e, states[0]))
 
     def step(alpha, x):
         return F.zip_with(
@@ -69,15 +129,23 @@ def log_likelihood(states: Column) -> Column:
             lambda into, e: _log_sum(F.zip_with(alpha, into, lambda a, t: a + t)) + _emission(e, x),
         )
 
-    rest = F.slice(states, F.lit(2), F.size(states))
-    general = _log_sum(F.aggregate(rest, first, step))
-    # with one state there is nothing to choose: the emissions add up
-    single = F.aggregate(states, F.lit(0.0), lambda s, x: s + _emission(em[0], x))
-    return F.when(F.size(em) == 1, single).otherwise(general)
+    return _log_sum(F.aggregate(F.slice(states, F.lit(2), F.size(states)), first, step))
+
+
+def log_likelihood(symbols: Column, states: Column) -> Column:
+    """Forward recursion over the columns of ``with_score_parameters``."""
+    k = F.size("em")
+    return (
+        F.when(k == 1, _single_state(symbols))
+        .when(k == 2, _two_states(states))
+        .otherwise(_any_states(states))
+    )
 
 
 def score(joined: DataFrame) -> DataFrame:
     """Add ``score`` to observations that carry their model's columns."""
     ready = joined if "lp" in joined.columns else with_score_parameters(joined)
-    stated = ready.withColumn("_states", symbol_states(F.col("symbols")))
-    return stated.withColumn("score", log_likelihood(F.col("_states"))).drop("_states", "lp", "lt", "em")
+    states = F.when(F.size("em") > 1, symbol_states(F.col("symbols")))
+    stated = ready.withColumn("_states", states)
+    likelihood = log_likelihood(F.col("symbols"), F.col("_states"))
+    return stated.withColumn("score", likelihood).drop("_states", "lp", "tt", "lt", "em")

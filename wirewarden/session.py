@@ -45,6 +45,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal few partitions out to all cores before work that is heavy per row.
+
+    Only small inputs have fewer partitions than the cluster has cores; a large
+    one is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def work_partitions(df: DataFrame) -> int:
+    """Shuffle partitions for work whose cost is not its bytes: never coalesced."""
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(wanted, spark.sparkContext.defaultParallelism)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for a table written by a job."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
