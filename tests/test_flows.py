@@ -1,0 +1,71 @@
+"""Flow parsing on hand-written flows."""
+
+from urllib.parse import unquote
+
+import pytest
+
+from wirewarden.operators.flows import parse_flows
+from wirewarden.sources.tables import read_flows
+
+NAME = "1493966490T192.168.126.131.59474-010.010.010.180.08888"
+SWAP = "1493966490T010.010.010.180.08888-192.168.126.131.59474"
+
+
+def parsed(spark, content, name=NAME):
+    df = spark.createDataFrame([(f"/flows/{name}", bytearray(content))], "path string, content binary")
+    return parse_flows(df).orderBy("record_id").collect()
+
+
+def test_request_and_address(spark):
+    (r,) = parsed(spark, b"GET /a%20b?x=1 HTTP/1.1\r\nHost: h:80\r\nUser-Agent:  UA x \r\nContent-Length: 007\r\nX: y\r\n\r\nbody")
+    assert (r.method, r.uri, r.host, r.user_agent, r.content_length, r.data) == ("GET", "/a%2520b%3Fx%3D1", "h%3A80", "UA%20x", "7", "")
+    assert (r.flow_time, r.src_ip, r.src_port, r.dst_ip, r.dst_port) == (1493966490, "192.168.126.131", "59474", "10.10.10.180", "8888")
+    assert (r.http_type, r.status, r.server, r.date) == ("Request", "", "", "")
+
+
+def test_x1_post_method_is_text_and_blank_body_lines_go(spark):
+    (r,) = parsed(spark, b"POST /p HTTP/1.1\r\nHost: h\r\n\r\na=1\r\n\r\n\nb=2")
+    assert (r.method, unquote(r.data)) == ("POST", "a=1\r\nb=2")
+
+
+def test_x2_one_row_per_message(spark):
+    rows = parsed(spark, b"POST /1 HTTP/1.1\r\nHost: a\r\n\r\nx=1\r\nGET /2 HTTP/1.1\r\nHost: b\r\n\r\n")
+    assert [(r.method, r.uri, r.host, unquote(r.data)) for r in rows] == [("POST", "/1", "a", "x=1\r\n"), ("GET", "/2", "b", "")]
+    assert len({r.record_id for r in rows}) == 2
+
+
+def test_x3_headers_end_at_the_blank_line(spark):
+    (r,) = parsed(spark, b"POST /p HTTP/1.1\r\nHost: real\r\n\r\nHost: body\r\n")
+    assert r.host == "real" and "Host" in unquote(r.data)
+
+
+def test_x4_header_values_are_trimmed_and_the_last_wins(spark):
+    (r,) = parsed(spark, b"GET / HTTP/1.1\r\nCookie: a=1\r\nCookie: b=2\r\nhost: no\r\n\r\n")
+    assert r.cookie == "b%3D2" and r.host == ""
+
+
+def test_response(spark):
+    (r,) = parsed(spark, b"HTTP/1.1 200 OK\r\nServer: s/1\r\nContent-Length: 5\r\nDate: d\r\n\r\nhello\r\n\r\nnot this", SWAP)
+    assert (r.http_type, r.status, r.server, r.content_length, r.date, unquote(r.data)) == ("Response", "200", "s/1", "5", "d", "hello\r\n")
+    assert (r.src_ip, r.dst_port) == ("10.10.10.180", "59474")
+
+
+def test_x25_response_without_blank_line_ends(spark):
+    (r,) = parsed(spark, b"HTTP/1.1 304 Not Modified\r\nServer: s")
+    assert (r.status, r.server, r.data) == ("304", "s", "")
+
+
+@pytest.mark.parametrize("content", [b"", b"HTTP/1.1 200 Connection established\r\n\r\n", b"PUT / HTTP/1.1\r\n\r\n", b"\x16\x03\x01"])
+def test_other_flows_are_skipped(spark, content):
+    assert parsed(spark, content) == []
+
+
+def test_invalid_bytes_do_not_fail(spark):
+    (r,) = parsed(spark, "GET /ä HTTP/1.1\r\nHost: ".encode() + b"\xff\r\n\r\n")
+    assert r.uri == "/%C3%A4" and r.host == "%EF%BF%BD"
+
+
+def test_flow_files(spark, tmp_path):
+    (tmp_path / NAME).write_bytes(b"GET /f HTTP/1.1\r\nHost: h\r\n\r\n")
+    (r,) = parse_flows(read_flows(spark, str(tmp_path))).collect()
+    assert (r.uri, r.src_port) == ("/f", "59474")
