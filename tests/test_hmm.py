@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wirewarden.operators import hmm
 from wirewarden.operators.joins import join_keyed, join_models, latest_models
 from wirewarden.operators.scoring import score, with_score_parameters
+from wirewarden.operators.training import fit_large
 from wirewarden.operators.thresholds import score_profiles
 from wirewarden.plans.options import TrainOptions
 from wirewarden.plans.train import train_groups, train_sequences
@@ -153,6 +154,16 @@ def test_chunked_training_equals_one_task(spark, groups):
         assert np.array(b.transmat) == pytest.approx(np.array(a.transmat), abs=1e-6)
 
 
+def test_waves_change_nothing(spark, groups):
+    """Models that exceed the driver's bound are trained in several waves."""
+    sequences = sequences_frame(spark, groups)
+    stats = cut(train_groups(sequences))
+    one, many = model_values(fit_large(sequences, stats)), model_values(fit_large(sequences, stats, wave_bytes=1000))
+    assert set(one) == set(many) == {"hex", "num", "path", "const"}
+    for key, a in one.items():
+        assert many[key].means == pytest.approx(a.means, rel=1e-9) and many[key].n_iter == a.n_iter
+
+
 def outlier_groups():
     return {"p": {"NN": 60, "NNN": 55, "NNNN": 50, "A/A/A<A>": 1, "'A'='A'": 1}, "q": {"AA": 30, "AAA": 25, "///////": 1}}
 

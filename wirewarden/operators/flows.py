@@ -75,55 +75,73 @@ def split_messages(flows: DataFrame) -> DataFrame:
 
 def _with_parts(messages: DataFrame) -> DataFrame:
     """Cut a message at its first blank line into header text and body."""
-    at = F.regexp_instr(F.col("message"), F.lit(_BLANK_LINE))
-    pieces = F.split("message", _BLANK_LINE, 2)
-    return messages.withColumn("_pieces", pieces).select(
-        "*",
-        F.col("_pieces")[0].alias("head"),
-        F.coalesce(F.try_element_at("_pieces", F.lit(2)), F.lit("")).alias("body"),
-        (at > 0).alias("has_body"),
-    ).drop("_pieces")
+    cut = messages.withColumn("_pieces", F.split("message", _BLANK_LINE, 2))
+    body = F.coalesce(F.try_element_at("_pieces", F.lit(2)), F.lit(""))
+    return cut.withColumns({"head": F.col("_pieces")[0], "body": body}).drop("_pieces")
 
 
 def _header(name: str) -> Column:
     """Trimmed text of the last header line of that name, else the empty string."""
-    return strip_text(F.regexp_extract("head", rf"(?s)^.*\n{name}: ([^\n]*)", 1))
+    mark = f"\n{name}: "
+    value = F.substring_index(F.substring_index("head", mark, -1), "\n", 1)
+    return strip_text(F.when(F.contains("head", F.lit(mark)), value).otherwise(F.lit("")))
 
 
-def parse_requests(messages: DataFrame) -> DataFrame:
-    line = r"^(GET|POST) [ \t\x0B\f\r]*([^ \t\x0B\f\r\n]+)"
-    parts = _with_parts(messages.where("kind = 'Request'"))
-    fields = {
-        "http_type": F.lit("Request"),
-        "method": F.regexp_extract("head", line, 1),
-        "uri": url_quote(F.regexp_extract("head", line, 2)),
-        "content_length": F.coalesce(_header("Content-Length").try_cast("bigint").cast("string"), F.lit("")),
-        **{field: url_quote(_header(name)) for name, field in REQUEST_HEADERS.items()},
-    }
+def _second_word(line: str) -> Column:
+    return F.regexp_extract("head", line + r" [ \t\x0B\f\r]*([^ \t\x0B\f\r\n]+)", 1)
+
+
+def _request_fields() -> dict:
+    length = _header("Content-Length").try_cast("bigint").cast("string")
     # blank lines inside a body are dropped, all its other lines are kept
     body = url_quote(F.regexp_replace("body", r"(?dm)^\r?\n", ""))
-    return parts.withColumns(fields).where("method <> ''").withColumn(
-        "data", F.when(F.col("method") == "POST", body).otherwise(F.lit(""))
-    ).drop("head", "body", "has_body")
+    method = F.when(F.startswith("head", F.lit("GET ")), "GET").when(
+        F.startswith("head", F.lit("POST ")), "POST"
+    )
+    return {
+        "method": method,
+        "uri": url_quote(_second_word("^(?:GET|POST)")),
+        "content_length": F.coalesce(length, F.lit("")),
+        **{field: url_quote(_header(name)) for name, field in REQUEST_HEADERS.items()},
+        "data": F.when(F.startswith("head", F.lit("POST ")), body).otherwise(F.lit("")),
+    }
 
 
-def parse_responses(messages: DataFrame) -> DataFrame:
-    parts = _with_parts(messages.where("kind = 'Response'"))
-    fields = {
-        "http_type": F.lit("Response"),
-        "status": url_quote(F.regexp_extract("head", r"^HTTP/1\.1 [ \t\x0B\f\r]*([^ \t\x0B\f\r\n]+)", 1)),
+def _response_fields() -> dict:
+    return {
+        "status": url_quote(_second_word(r"^HTTP/1\.1")),
         **{field: url_quote(_header(name)) for name, field in RESPONSE_HEADERS.items()},
         # the body of a response ends at the next empty line
         "data": url_quote(F.split("body", r"(?dm)^\r\n", 2)[0]),
     }
-    return parts.withColumns(fields).drop("head", "body", "has_body")
+
+
+def parse_messages(messages: DataFrame) -> DataFrame:
+    """Requests and responses side by side in one pass: a field is read by the
+    rule of the message's kind and is empty where the kind has no such field."""
+    request, response = _request_fields(), _response_fields()
+    is_request = F.col("kind") == "Request"
+    fields = {
+        name: F.when(is_request, request.get(name, F.lit(""))).otherwise(response.get(name, F.lit("")))
+        for name in {**request, **response}
+    }
+    rows = _with_parts(messages).withColumns({"http_type": F.col("kind"), **fields})
+    # a request line that is only a method names no resource
+    return rows.where("kind = 'Response' or (method is not null and uri <> '')").drop("head", "body", "message")
+
+
+def parse_requests(messages: DataFrame) -> DataFrame:
+    return parse_messages(messages.where("kind = 'Request'"))
+
+
+def parse_responses(messages: DataFrame) -> DataFrame:
+    return parse_messages(messages.where("kind = 'Response'"))
 
 
 def parse_flows(flows: DataFrame) -> DataFrame:
     """All 19 fields of every message, plus ``record_id`` (file name and message number)."""
-    messages = split_messages(flows)
-    both = parse_requests(messages).unionByName(parse_responses(messages), allowMissingColumns=True)
-    located = both.withColumns(flow_tuple(F.col("path"))).withColumn(
+    messages = parse_messages(split_messages(flows))
+    located = messages.withColumns(flow_tuple(F.col("path"))).withColumn(
         "record_id", F.concat_ws("#", F.substring_index("path", "/", -1), "msg_no")
     )
     return fill_empty(located).select("record_id", *HTTP_FIELDS)

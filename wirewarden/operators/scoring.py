@@ -132,20 +132,23 @@ def _any_states(states: Column) -> Column:
     return _log_sum(F.aggregate(F.slice(states, F.lit(2), F.size(states)), first, step))
 
 
-def log_likelihood(symbols: Column, states: Column) -> Column:
-    """Forward recursion over the columns of ``with_score_parameters``."""
+def log_likelihood(symbols: Column) -> Column:
+    """Forward recursion over the columns of ``with_score_parameters``.
+
+    The observation array is bound inside the expression: as a column of its
+    own it would be inlined several times where a score filter is pushed down.
+    """
     k = F.size("em")
+    states = symbol_states(symbols)
     return (
         F.when(k == 1, _single_state(symbols))
-        .when(k == 2, _two_states(states))
-        .otherwise(_any_states(states))
+        .when(k == 2, _let(states, _two_states))
+        .otherwise(_let(states, _any_states))
     )
 
 
 def score(joined: DataFrame) -> DataFrame:
     """Add ``score`` to observations that carry their model's columns."""
     ready = joined if "lp" in joined.columns else with_score_parameters(joined)
-    states = F.when(F.size("em") > 1, symbol_states(F.col("symbols")))
-    stated = ready.withColumn("_states", states)
-    likelihood = log_likelihood(F.col("symbols"), F.col("_states"))
-    return stated.withColumn("score", likelihood).drop("_states", "lp", "tt", "lt", "em")
+    likelihood = log_likelihood(F.col("symbols"))
+    return ready.withColumn("score", likelihood).drop("lp", "tt", "lt", "em")
