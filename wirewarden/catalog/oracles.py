@@ -241,6 +241,9 @@ _DOC_TEXT = f"select doc_id, {{}} from documents"
 
 ORACLES = {
     "scan_json_archive": text(f"select {_FIELDS} from http_records", "http_records"),
+    "scan_models": text("select p_id, label.t as p_type, label.n as p_name, n_seq, n_components, '1' as model_version from groups where n_seq >= 10", "groups"),
+    "train_models": text("""select p_id, label.t as p_type, label.n as p_name, n_seq, n_components, 1.0::double as start_sum,
+      n_components::double as transition_sum, true as has_variance, true as profile_below_mean from groups where n_seq >= 10""", "groups"),
     "to_json_record": text(f"select record_id, {_FIELDS} from http_records", "http_records"),
     "http_classify": text(f"select path, {_KIND.format(t='content')} as kind from flow_raw", "flow_raw"),
     "flow_tuple": text(f"select path, {_TUPLE} from flow_raw", "flow_raw"),

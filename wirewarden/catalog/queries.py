@@ -72,7 +72,7 @@ def scan_json_archive(spark, sf):
 def scan_models(spark, sf):
     path = shared_path(spark, "models")
     write_models(train_sequences(observed_sequences(derived.http_records(spark, sf))), path, "1")
-    return read_models(spark, path).drop("trained_at")
+    return read_models(spark, path).select("p_id", "p_type", "p_name", "n_seq", "n_components", "model_version")
 
 
 @query
@@ -607,7 +607,18 @@ def hmm_train_single_state(spark, sf):
 
 @query
 def train_models(spark, sf):
-    return _trained(spark, sf).select(*_MODEL_COLUMNS, "startprob", "transmat", "means", "vars", "profile")
+    """Every model with the sums that make it a distribution."""
+    def total(values):
+        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+    models = _trained(spark, sf)
+    return models.select(
+        "p_id", "p_type", "p_name", "n_seq", "n_components",
+        F.round(total(F.col("startprob")), 6).alias("start_sum"),
+        F.round(total(F.flatten("transmat")), 6).alias("transition_sum"),
+        (F.array_min("vars") > 0).alias("has_variance"),
+        (F.col("profile") <= F.col("score_mean")).alias("profile_below_mean"),
+    )
 
 
 @query

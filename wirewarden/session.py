@@ -1,5 +1,6 @@
 """Session helpers: a local test session and the reliable checkpoint folder."""
 
+import math
 import tempfile
 import uuid
 
@@ -55,11 +56,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def work_partitions(df: DataFrame) -> int:
-    """Shuffle partitions for work whose cost is not its bytes: never coalesced."""
-    spark = df.sparkSession
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(wanted, spark.sparkContext.defaultParallelism)
+def work_partitions(spark: SparkSession, work: float, per_task: float) -> int:
+    """Partitions for a stage whose cost is not its bytes, so that coalescing by
+    bytes would be wrong: by amount of work, at least one per core, at most
+    the session's shuffle partitions."""
+    cores = spark.sparkContext.defaultParallelism
+    most = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(most, max(cores, math.ceil(work / per_task)))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
