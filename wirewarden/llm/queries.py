@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_rules, neardup, packing, sharding
+from . import host_rules, langid, neardup, packing, quality, sharding, toxicity
 from .common import table
 
 QUERIES = {}
@@ -39,3 +39,32 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def fold(folds: int) -> F.Column:
+    """The fold of a document: crc32 of its id as text, modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold(5) != 0).select("doc_id", "text", "lang"))
+    return langid.label_documents(docs, model).select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold(3) != 1)
+    return quality.score_documents(docs, model).select(
+        "doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
