@@ -1,11 +1,13 @@
 """Quality by naive Bayes support vectors: n-gram indicators scaled by class
 log-count ratios, then a linear model with hinge loss by dual coordinate descent."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .labelled import SAMPLE, TOKEN, Hasher, fit_in_one_task, labelled_sample, scored, sigmoid
+from .labelled import SAMPLE, TOKEN, fit_in_one_task, labelled_sample, scored, sigmoid
 
 #: hash buckets of n-grams, least documents of one, smoothing of the counts
 BUCKETS, LEAST_DOCS, ALPHA = 1 << 18, 3, 1.0
@@ -14,7 +16,18 @@ PENALTY, ROUNDS, TOLERANCE = 1.0, 60, 1e-3
 #: length of the scaled indicators from which a text has its full weight
 LENGTH = 8.0
 
-_HASH = Hasher(BUCKETS)
+#: codes of tokens: a hash of the lower-case form, and two flags above it
+_WORD, _CAPITAL, _KNOWN, _MOST = 1 << 32, 1 << 33, {}, 300_000
+_SAME, _CAPITALS = (zlib.crc32(x) % BUCKETS for x in (b"same same same", b"capitals capitals"))
+
+
+def _code(token: str) -> int:
+    if len(_KNOWN) >= _MOST:
+        _KNOWN.clear()
+    code = zlib.crc32(token.lower().encode("utf-8", "surrogatepass"))
+    code |= _WORD * token[0].isalnum() | _CAPITAL * (len(token) > 1 and token.isupper())
+    _KNOWN[token] = code
+    return code
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -23,18 +36,18 @@ def ngrams(text: str) -> np.ndarray:
     Tokens are runs of letters, of digits, or of other characters, in lower
     case. Whatever the word, three of the same in a row count as an n-gram,
     and two neighbours in capitals as another."""
-    tokens = TOKEN.findall(text)
-    low = [t.lower() for t in tokens]
-    found = set(low)
-    found.update(map("%s %s".__mod__, set(zip(low, low[1:]))))
-    words = [t for t in low if t[0].isalnum()]
-    if any(a == b == c for a, b, c in zip(words, words[1:], words[2:])):
-        found.add("<same> <same> <same>")
-    if any(len(t) > 1 and t.isupper() for t in set(tokens)):
-        capitals = [len(t) > 1 and t.isupper() for t in tokens if t[0].isalpha()]
-        if any(a and b for a, b in zip(capitals, capitals[1:])):
-            found.add("<capitals> <capitals>")
-    return _HASH(found)
+    get = _KNOWN.get
+    codes = np.array([get(t) or _code(t) for t in TOKEN.findall(text)], "uint64")
+    hashes = codes & np.uint64(_WORD - 1)
+    pairs = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    found = [(hashes % np.uint64(BUCKETS)).astype("int32"), (pairs >> np.uint64(40)).astype("int32") % BUCKETS]
+    words = codes[codes & np.uint64(_WORD) > 0]
+    if (same := words[1:] == words[:-1]).any() and (same[1:] & same[:-1]).any():
+        found.append([_SAME])
+    capital = words & np.uint64(_CAPITAL) > 0
+    if (capital[1:] & capital[:-1]).any():
+        found.append([_CAPITALS])
+    return np.unique(np.concatenate(found)).astype("int32")
 
 
 def log_count_ratio(labels, rows):

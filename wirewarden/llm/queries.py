@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_rules, langid, neardup, packing, quality, sharding, toxicity
+from . import host_rules, jaccard, langid, neardup, packing, quality, sharding, toxicity
 from .common import table
 
 QUERIES = {}
@@ -68,3 +68,27 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), fold(3) != 1)
     return quality.score_documents(docs, model).select(
         "doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_by_shingles(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, [x for x in regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')
+    if x <> ''] as w from documents),
+s as (
+  select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end)) as s from w),
+n as (select w.doc_id, count(s.s) as n from w left join s using (doc_id) group by 1),
+link as (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.s = b.s and a.doc_id <> b.doc_id
+  join n p on p.doc_id = a.doc_id join n q on q.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, p.n, q.n having 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+reach as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a)
+select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(reach.b), n.doc_id)) as component_id
+from n left join reach on reach.a = n.doc_id group by n.doc_id, n.n
+"""
