@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_rules, jaccard, langid, neardup, packing, quality, sharding, toxicity
+from . import host_rules, jaccard, langid, neardup, packing, pii, quality, sharding, toxicity
 from .common import table
 
 QUERIES = {}
@@ -92,3 +92,8 @@ reach as (select a, b from link union select reach.a, link.b from reach join lin
 select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(reach.b), n.doc_id)) as component_id
 from n left join reach on reach.a = n.doc_id group by n.doc_id, n.n
 """
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
