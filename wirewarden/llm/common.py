@@ -23,6 +23,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: rows of ids or small keys up to which a table is broadcast
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted small; else a join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def slices_for(rows: int, per_slice: int = 200_000, least: int = 8) -> int:
     return max(least, -(-rows // per_slice))
 

@@ -7,7 +7,7 @@ whose shrunk rate is too high go with the ones that fail themselves.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import store
+from .common import broadcast_if_small, store
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -139,3 +139,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     return stats.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
+
+
+def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, columns unchanged; texts are read once and not shuffled."""
+    marked = store(
+        with_stats(docs, text_col).select(*docs.columns, "rules.*")
+        .withColumn("base_failed", fails_rules()).select(*docs.columns, "base_failed"), "marked")
+    verdicts = host_verdicts(marked.select(F.col(host_col).cast("string").alias("host"), "base_failed"))
+    bad = broadcast_if_small(verdicts.where("not host_kept").select(F.col("host").alias("_host")))
+    good = marked.where("not base_failed")
+    return good.join(bad, good[host_col].cast("string") == F.col("_host"), "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: labelled documents that a classifier is fitted on
 SAMPLE = 8000
@@ -84,13 +84,17 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def scored(docs: DataFrame, score_text, threshold: float) -> DataFrame:
-    """(doc_id, score, predicted) of every row by a function of the text."""
+def score_column(score_text) -> Column:
+    """Scores of column ``text`` by a function of the whole text; a null text is an empty one."""
 
-    def score(frames):
-        for frame in frames:
-            values = np.array([score_text(t or "") for t in frame["text"]], "float64")
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "score": values, "predicted": (values >= threshold).astype("int32")})
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([score_text(t or "") for t in texts], dtype="float64")
+
+    return score("text")
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double, predicted int")
+
+def scored(docs: DataFrame, score_text, threshold: float) -> DataFrame:
+    """(doc_id, score, predicted) of every row by a function of the text."""
+    return docs.select("doc_id", score_column(score_text).alias("score")).withColumn(
+        "predicted", (F.col("score") >= threshold).cast("int"))

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import store
+from .common import broadcast_if_small, store
 from .host_rules import _bind
 
 #: kinds in the order of the contract, and the forms of seeds. Every class is
@@ -33,7 +33,6 @@ TOKEN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
 SUPPORT, CONFIDENCE, ROUNDS, DIGITS = 3, 0.8, 3, 4
 #: code points in front of an entity that its context is taken from
 REACH = 80
-BROADCAST_ROWS = 1_000_000
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -132,10 +131,6 @@ def _with_context(text: Column, spans: Column) -> Column:
         context(text, s.start).alias("context")))
 
 
-def _mostly_small(frame: DataFrame) -> DataFrame:
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
-
-
 def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(context, kind, confidence) of the patterns that may discover entities.
 
@@ -158,7 +153,7 @@ def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\x20")
     pairs = docs.select(F.explode(_bind(words, lambda w: F.transform(
         w, lambda x, i: F.when(i > 0, F.concat(F.lit("b:"), F.get(w, i - 1), F.lit(" "), x))))).alias("context"))
-    counted = pairs.join(_mostly_small(wanted), "context", "left_semi").groupBy("context").agg(
+    counted = pairs.join(broadcast_if_small(wanted), "context", "left_semi").groupBy("context").agg(
         F.count(F.lit(1)).alias("uses"))
     held = mentions.groupBy("context").agg(F.sum("n").alias("mentions"))
     totals = store(
@@ -186,33 +181,85 @@ def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     return patterns.where(F.col("confidence") >= CONFIDENCE)
 
 
+def _search(docs: DataFrame) -> DataFrame:
+    """Adds ``seeds`` and ``spans`` to rows with a doc_id and a text column."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    found = docs.withColumn("seeds", seeds(text)).withColumn("tokens", tokens(text, F.col("seeds")))
+    found = store(
+        found.withColumn("seeds", _with_context(text, F.col("seeds")))
+        .withColumn("tokens", _with_context(text, F.col("tokens")))
+        .withColumn("_row", F.monotonically_increasing_id()), "found")
+    patterns = learn_patterns(found, docs.select(F.col("_text").alias("text")))
+    best = patterns.groupBy("context").agg(
+        F.min(F.struct((-F.col("confidence")).alias("c"), "kind")).alias("b")).select("context", "b.kind")
+    new = (
+        found.where(F.size("tokens") > 0).select("_row", F.explode("tokens").alias("t"))
+        .select("_row", "t.start", "t.end", "t.context").join(broadcast_if_small(best), "context")
+        .groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_new")))
+    plain = F.transform("seeds", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
+    return (
+        found.join(broadcast_if_small(new), "_row", "left").withColumn("seeds", plain)
+        .withColumn("spans", F.array_sort(F.concat(
+            "seeds", F.coalesce("_new", F.array().cast("array<struct<start:int,kind:int,end:int>>")))))
+        .drop("_row", "_new", "tokens"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, seeds, spans) of every row; spans are (start, kind, end) by start, then kind.
+    """(doc_id, seeds, spans) of every row; spans are (start, kind, end) by start, then kind.
 
     ``seeds`` are the entities found by form, ``spans`` those and the ones that
     learned patterns discover. Positions are code points, ends exclusive. A
     null text is empty and holds nothing. Rows that repeat are searched each;
     no rows: no rows. A token that patterns of several kinds precede takes the
-    kind of the surest, then the first in order.
+    kind of the surest, then the first in order. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("seeds", seeds(text)).withColumn("tokens", tokens(text, F.col("seeds")))
-    found = store(found.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
-        _with_context(text, F.col("seeds")).alias("seeds"), _with_context(text, F.col("tokens")).alias("tokens")), "found")
-    patterns = learn_patterns(found, docs)
-    best = patterns.groupBy("context").agg(
-        F.min(F.struct((-F.col("confidence")).alias("c"), "kind")).alias("b")).select("context", "b.kind")
-    new = (
-        found.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t"))
-        .select("row", "t.start", "t.end", "t.context").join(_mostly_small(best), "context")
-        .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new")))
-    plain = F.transform("seeds", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
-    return found.join(new, "row", "left").select(
-        "doc_id", plain.alias("seeds"),
-        F.array_sort(F.concat(plain, F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-        .alias("spans"))
+    found = _search(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
+    return found.select("doc_id", "seeds", "spans")
+
+
+def _redacted(text: Column, spans: Column) -> Column:
+    """``text`` with every stretch of overlapping spans replaced by the kind of its first."""
+    masks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def merge(done, s):
+        last = F.element_at(done, -1)
+        return F.when(F.size(done) == 0, F.array(s)).when(
+            s.start < last.end,
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(
+                last.start.alias("start"), last.kind.alias("kind"), F.greatest(last.end, s.end).alias("end"))))
+        ).otherwise(F.concat(done, F.array(s)))
+
+    def rebuilt(merged):
+        def end_before(i):
+            return F.when(i > 0, F.get(merged, i - 1).end).otherwise(0)
+
+        parts = F.transform(merged, lambda s, i: F.concat(
+            F.substring(text, end_before(i) + 1, s.start - end_before(i)), F.get(masks, s.kind)))
+        return F.concat(F.array_join(parts, ""), F.substring(
+            text, F.element_at(merged, -1).end + 1, F.length(text)))
+
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return F.when(F.size(spans) > 0, _bind(F.aggregate(spans, empty, merge), rebuilt)).otherwise(text)
+
+
+def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every found span masked as [EMAIL], [IP], [CARD] or [PHONE].
+
+    ``length_col``, where there is one, follows a changed text. Texts without
+    finds, null ones too, stay as they are.
+    """
+    found = _search(docs.withColumn("_text", F.col(text_col)))
+    changed = found.withColumn("_new_text", _redacted(F.col("_text"), F.col("spans")))
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(F.col("_new_text").alias(c))
+        elif c == length_col:
+            columns.append(F.when(F.size("spans") > 0, F.length("_new_text").cast(docs.schema[c].dataType))
+                           .otherwise(F.col(c)).alias(c))
+        else:
+            columns.append(F.col(c))
+    return changed.select(*columns)
 
 
 def written(spans: Column) -> Column:

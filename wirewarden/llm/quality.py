@@ -5,9 +5,9 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from .labelled import SAMPLE, TOKEN, fit_in_one_task, labelled_sample, scored, sigmoid
+from .labelled import SAMPLE, TOKEN, fit_in_one_task, labelled_sample, score_column, scored, sigmoid
 
 #: hash buckets of n-grams, least documents of one, smoothing of the counts
 BUCKETS, LEAST_DOCS, ALPHA = 1 << 18, 3, 1.0
@@ -157,3 +157,10 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return scored(docs, lambda text: sent.value.score(text), threshold)
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, columns unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    marked = docs.withColumn("_score", score_column(lambda text: sent.value.score(text)))
+    return marked.where(F.col("_score") >= threshold).drop("_score")
