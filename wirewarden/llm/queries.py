@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_rules, jaccard, langid, neardup, packing, pii, quality, sharding, toxicity
+from . import host_rules, jaccard, langid, neardup, packing, pieces, pii, quality, sharding, toxicity
 from .common import table
 
 QUERIES = {}
@@ -97,3 +97,8 @@ from n left join reach on reach.a = n.doc_id group by n.doc_id, n.n
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
