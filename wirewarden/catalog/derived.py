@@ -12,6 +12,15 @@ from ..schemas import HTTP_FIELDS
 from ..session import spread
 
 QUOTED_FIELDS = ["referer", "host", "cookie", "uri", "user_agent", "content_type", "data"]
+# Hand-set models by parameter name (start, transitions, means,
+# variances, profile), among them one with a state that no other leads to.
+HAND_MODELS = {
+    "uid": ([1.0], [[1.0]], [78.0], [1.0], -2.5),
+    "v": ([0.6, 0.4], [[0.7, 0.3], [0.2, 0.8]], [65.0, 78.0], [0.5, 2.0], -40.0),
+    "name": ([0.5, 0.5], [[0.0, 1.0], [0.0, 1.0]], [65.0, 78.0], [1.0, 1.0], -5.0),
+    "sid": ([0.2, 0.3, 0.5], [[0.5, 0.25, 0.25], [0.1, 0.6, 0.3], [0.0, 0.5, 0.5]], [65.0, 78.0, 47.0],
+            [4.0, 9.0, 100.0], -70.0),
+}
 # Every event whose id is a multiple of 97 carries an injected value in ``v``.
 ATTACK_STEP = 97
 
@@ -44,7 +53,8 @@ from (
          when e.event_type = 'purchase' and e.event_id % 2 = 0 then concat('<r><h><uid>', cast(e.user_id as {S}), '</uid><none/></h>',
            case when e.event_id % 14 = 0 then '' else '</r>' end)
          when e.event_type = 'purchase' then concat('{"props":', e.props, ',"uid":"u', cast(e.user_id as {S}),
-           '","ok":true,"none":null,"list":[1,2]', case when e.event_id % 7 = 0 then '' else '}' end)
+           '","ok":true,"none":null,"list":[1,2]', case when e.event_id % 7 = 0 then '' when e.event_id % 13 = 0 then '}{"b":2}'
+           when e.event_id % 19 = 0 then '}]x' when e.event_id % 17 = 0 then '} tail' else '}' end)
          else '' end as data,
     p.url as referer, concat('agent/', cast(e.user_id % 5 as {S})) as user_agent,
     concat('10.0.0.', cast(e.user_id % 250 + 1 as {S})) as src_ip, cast(40000 + e.event_id % 20000 as {S}) as src_port,

@@ -4,10 +4,12 @@ They are written set-wise from the definition of each step and share no code
 with the Spark side beyond the derived input views and fixed values.
 """
 
+import math
+
 from ..functions.symbols import cjk_class, digit_class
 from ..functions.text import WHITESPACE
 from ..schemas import ALARM_TYPE, HTTP_FIELDS
-from .derived import duckdb_ctes, duckdb_quote
+from .derived import HAND_MODELS, duckdb_ctes, duckdb_quote
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 _FILLED = [f for f in HTTP_FIELDS if f != "flow_time"]
@@ -73,6 +75,30 @@ def _body_kind(content_type):
 _HPM = "host_text || path || method_text"
 
 # name -> (views it reads, text)
+def _ln(p):
+    return repr(math.log(p)) + "::double" if p else "'-infinity'::double"
+
+
+def _hand_rows():
+    def listed(values):
+        return "[" + ", ".join(values) + "]"
+
+    return ", ".join(
+        f"('{name}', {len(start)}, {listed(map(_ln, start))}, {listed(listed(map(_ln, row)) for row in trans)}, "
+        f"{listed(f'{m!r}::double' for m in means)}, {listed(f'{v!r}::double' for v in variances)}, {profile!r}::double)"
+        for name, (start, trans, means, variances, profile) in HAND_MODELS.items())
+
+
+def _density(x):
+    return f"(-0.5 * ln(2 * pi() * vars[j]) - ({x} - means[j]) * ({x} - means[j]) / (2 * vars[j]))"
+
+
+def _log_total(values):
+    """ln of the sum of exponentials of a list."""
+    return (f"[case when list_max(l) = '-infinity' then list_max(l) "
+            f"else list_max(l) + ln(list_sum([exp(y - list_max(l)) for y in l])) end for l in [{values}]][1]")
+
+
 VIEWS = {
     "requests": (["http_records"], "select * from http_records where method in ('GET', 'POST')"),
     "norm0": (["requests"], f"""
@@ -127,29 +153,24 @@ VIEWS = {
       select p_id, arg_min({'t': p_type, 'n': p_name}, {'a': flow_time, 'b': p_type, 'c': p_name}) as label, count(*) as n_seq,
         cast(round_even(avg(len(list_distinct(st))), 0) as int) as n_components, cast(sum(len(st)) as bigint) as n_symbols
       from features group by p_id"""),
-    # the two hand-set models, one row per parameter of that name
-    "named": (["features"], "select distinct p_id, p_name from features where p_name in ('uid', 'v')"),
+    # the hand-set models, one row per parameter of that name
+    "hand": ([], f"select * from (values {_hand_rows()}) h(p_name, k, lp, lt, means, vars, profile)"),
+    "named": (["features", "hand"], "select distinct p_id, p_name from features where p_name in (select p_name from hand)"),
     "observed": (["features", "named"], """
       select f.record_id, f.p_id, f.p_name, f.st, array_to_string(f.st, ',') as states from features f join named n using (p_id)"""),
-    "emit2": (["observed"], """
-      select states, st, list_transform(st, lambda x: -0.5 * ln(2 * pi() * 0.5) - (x - 65) * (x - 65) / (2 * 0.5)) as e1,
-        list_transform(st, lambda x: -0.5 * ln(2 * pi() * 2) - (x - 78) * (x - 78) / (2 * 2.0)) as e2
-      from (select states, any_value(st) as st from observed where p_name = 'v' group by states)"""),
-    "scores": (["observed", "emit2", "forward"], """
-      select states, 'v' as p_name, greatest(a1, a2) + ln(1 + exp(-abs(a1 - a2))) as score from forward join emit2 using (states)
-      where t = len(st)
-      union all
-      select states, 'uid', list_sum(list_transform(any_value(st), lambda x: -0.5 * ln(2 * pi()) - (x - 78) * (x - 78) / 2.0))
-      from observed where p_name = 'uid' group by states"""),
-    "forward": (["emit2"], """
-      select states, 1 as t, ln(0.6) + e1[1] as a1, ln(0.4) + e2[1] as a2 from emit2
+    "seen": (["observed", "hand"], """
+      select o.*, k, lp, lt, means, vars, profile
+      from (select p_name, states, any_value(st) as st from observed group by all) o join hand using (p_name)"""),
+    "forward": (["seen"], f"""
+      select p_name, states, 1 as t, [lp[j] + {_density('st[1]')} for j in range(1, k + 1)] as a from seen
       union all
-      select f.states, f.t + 1,
-        greatest(a1 + ln(0.7), a2 + ln(0.2)) + ln(1 + exp(-abs(a1 + ln(0.7) - a2 - ln(0.2)))) + e1[f.t + 1],
-        greatest(a1 + ln(0.3), a2 + ln(0.8)) + ln(1 + exp(-abs(a1 + ln(0.3) - a2 - ln(0.8)))) + e2[f.t + 1]
-      from forward f join emit2 e on e.states = f.states where f.t < len(e.st)"""),
+      select f.p_name, f.states, f.t + 1,
+        [{_log_total('[f.a[i] + lt[i][j] for i in range(1, k + 1)]')} + {_density('st[f.t + 1]')} for j in range(1, k + 1)]
+      from forward f join seen s on s.p_name = f.p_name and s.states = f.states where f.t < len(s.st)"""),
+    "scores": (["forward", "seen"], f"""
+      select p_name, states, {_log_total('a')} as score, profile from forward join seen using (p_name, states) where t = len(st)"""),
     "scored": (["observed", "scores"], """
-      select o.record_id, o.p_id, o.p_name, o.states, o.st, s.score, case o.p_name when 'uid' then -2.5 else -40.0 end as profile
+      select o.record_id, o.p_id, o.p_name, o.states, o.st, s.score, s.profile
       from observed o join scores s using (states, p_name)"""),
 }
 _BASE = {
@@ -250,8 +271,8 @@ ORACLES = {
     "http_split_messages": text("select path, msg_no, kind, md5(message) as message_md5 from messages", "messages"),
     "http_parse_request": text("select record_id, method, uri, host, user_agent, cookie, referer, content_type, content_encoding, content_length, data from req_rows", "req_rows"),
     "http_parse_response": text("select record_id, status, server, content_type, content_length, date, content_encoding, data from resp_rows", "resp_rows"),
-    "fill_empty": text("select record_id, cast(" + " + ".join(f"(case when {f} = '' then 1 else 0 end)" for f in _FILLED)
-                       + " as int) as n_empty, status, data from resp_rows", "resp_rows"),
+    "fill_empty": text("select record_id, http_type, cast(" + " + ".join(f"(case when {f} = '' then 1 else 0 end)" for f in _FILLED)
+                       + " as int) as n_empty, status, data from flow_records", "flow_records"),
     "http_records_union": text("select http_type, method, status, count(*) as n, count(distinct src_ip) as n_src from flow_records group by all", "flow_records"),
     "parse_flows": text(f"select record_id, {_FIELDS} from flow_records", "flow_records"),
     "parse_json_record": text("select record_id, event_id % 7 <> 0 as parsed, " + ", ".join(
@@ -289,7 +310,7 @@ ORACLES = {
     "extract_features": text(f"select {_FEATURE} from features", "features"),
     "dedupe_last_wins": text("""select record_id, p_id, count(*) as n_written, arg_max(p_type, grp * 1000000 + pos) as p_type,
       array_to_string(arg_max(st, grp * 1000000 + pos), ',') as states from entries group by record_id, p_id""", "entries"),
-    "join_feature_model": text("select record_id, p_id, p_name, states, case p_name when 'uid' then 1 else 2 end as n_components from observed", "observed"),
+    "join_feature_model": text("select record_id, p_id, p_name, states, k as n_components from observed join hand using (p_name)", "observed", "hand"),
     "latest_model": text("""select p_id, arg_max(label, weight * 1000 + len(label)) as model_version, max(weight) as n_seq from (
       select p_id, p_type as label, count(*) as weight from features group by all) group by p_id""", "features"),
     "modelled_features": text("select record_id, p_id, p_type, p_name from features where p_id in (select p_id from named)", "features", "named"),

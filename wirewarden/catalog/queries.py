@@ -32,6 +32,8 @@ from ..plans.options import TrainOptions
 from ..plans.train import observed_sequences, train_groups, train_sequences
 from ..schemas import HTTP_FIELDS
 from ..session import cut, shared_path
+from ..operators.training import repaired
+from ..sources.queue import queue_messages
 from ..sources.tables import read_archive, read_models, write_archive, write_models
 from . import derived
 
@@ -77,9 +79,8 @@ def scan_models(spark, sf):
 
 @query
 def to_json_record(spark, sf):
-    records = derived.http_records(spark, sf)
-    texts = records.select("record_id", F.to_json(F.struct(*HTTP_FIELDS)).alias("value"))
-    return parse_json_records(texts).select("record_id", *HTTP_FIELDS)
+    messages = queue_messages(derived.http_records(spark, sf))
+    return parse_json_records(messages).select(F.col("key").cast("string").alias("record_id"), *HTTP_FIELDS)
 
 
 @query
@@ -133,9 +134,9 @@ def http_parse_response(spark, sf):
 
 @query
 def fill_empty_fields(spark, sf):
-    rows = parse_flows(spark, sf).where("http_type = 'Response'")
+    rows = parse_flows(spark, sf)
     empty = [F.when(F.col(c) == "", 1).otherwise(0) for c in HTTP_FIELDS if c != "flow_time"]
-    return rows.select("record_id", sum(empty[1:], empty[0]).alias("n_empty"), "status", "data")
+    return rows.select("record_id", "http_type", sum(empty[1:], empty[0]).alias("n_empty"), "status", "data")
 
 
 QUERIES["fill_empty"] = QUERIES.pop("fill_empty_fields")
@@ -293,8 +294,8 @@ def device_fields(spark, sf):
 
 @query
 def split_text_lines(spark, sf):
-    lines = _documents(spark, sf).select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id", F.md5("line").alias("line_md5")).agg(F.count("*").alias("n"))
+    lines = split_lines(_documents(spark, sf), "text", "doc_id")
+    return lines.groupBy("doc_id", F.md5("message").alias("line_md5")).agg(F.count("*").alias("n"))
 
 
 QUERIES["split_lines"] = QUERIES.pop("split_text_lines")
@@ -323,7 +324,7 @@ def _generator(kind, body=None):
     def run(spark, sf):
         requests = _requests(spark, sf)
         if body:
-            requests = requests.where(feat.body_kind(url_unquote(F.col("content_type"))) == body)
+            requests = requests.where(feat.body_kind(F.col("content_type")) == body)
         return _shown(feat.generate(requests, kind))
     return run
 
@@ -363,23 +364,16 @@ def dedupe_last_wins(spark, sf):
 
 # joins and models ------------------------------------------------------------
 
-# Two hand-set models, by parameter name.
-_NAMED = """
-select p_id, 'named' as p_type, p_name, '1' as model_version, cast(null as timestamp) as trained_at,
-  if(p_name = 'uid', 1, 2) as n_components,
-  if(p_name = 'uid', array(1D), array(0.6D, 0.4D)) as startprob,
-  if(p_name = 'uid', array(array(1D)), array(array(0.7D, 0.3D), array(0.2D, 0.8D))) as transmat,
-  if(p_name = 'uid', array(78D), array(65D, 78D)) as means,
-  if(p_name = 'uid', array(1D), array(0.5D, 2D)) as vars,
-  if(p_name = 'uid', -2.5D, -40D) as profile
-from {named}
-"""
-
-
 def _named_models(features):
-    """A hand-set model for every parameter named uid or v, materialised."""
-    named = features.where(F.col("p_name").isin("uid", "v")).select("p_id", "p_name").distinct()
-    return cut(features.sparkSession.sql(_NAMED, named=named))
+    """The hand-set model of its name for every parameter that has one, materialised."""
+    spark = features.sparkSession
+    hand = spark.createDataFrame(
+        [(name, len(m[0]), *m) for name, m in derived.HAND_MODELS.items()],
+        "p_name string, n_components int, startprob array<double>, transmat array<array<double>>, "
+        "means array<double>, vars array<double>, profile double")
+    named = features.select("p_id", "p_name").distinct().join(F.broadcast(hand), "p_name")
+    return cut(named.withColumns({
+        "p_type": F.lit("named"), "model_version": F.lit("1"), "trained_at": F.lit(None).cast("timestamp")}))
 
 
 def _scored(spark, sf):
@@ -528,17 +522,6 @@ def detect_batch(spark, sf):
                          "uri", "src_ip", "flow_time", "alarm_type")
 
 
-def repair_transitions(matrix):
-    """Rows of zeros of an array<array<double>> become uniform."""
-    return F.transform(
-        matrix,
-        lambda row: F.when(
-            F.aggregate(row, F.lit(0.0), lambda s, v: s + v) == 0,
-            F.transform(row, lambda v: F.lit(1.0) / F.size(row)),
-        ).otherwise(row),
-    )
-
-
 @query
 def transmat_repair(spark, sf):
     """Observed digit / non-digit transitions of every parameter, repaired."""
@@ -561,7 +544,7 @@ def transmat_repair(spark, sf):
     def row(a, b):
         total = F.greatest(F.col(a) + F.col(b), F.lit(1.0))
         return F.array(F.col(a) / total, F.col(b) / total)
-    fixed = counts.select("p_id", repair_transitions(F.array(row("nn", "nx"), row("xn", "xx"))).alias("t"))
+    fixed = counts.select("p_id", repaired(F.array(row("nn", "nx"), row("xn", "xx"))).alias("t"))
     return fixed.select(
         "p_id", *[F.round(F.col("t")[i][j], 9).alias(f"t{i}{j}") for i in (0, 1) for j in (0, 1)]
     )

@@ -37,12 +37,21 @@ def token_pairs(text: Column, delimiter: str) -> Column:
 
 
 def json_pairs(text: Column) -> Column:
-    """Top-level members in order; null for a body that is not a JSON object."""
-    members = F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"})
-    return F.transform(
+    """Top-level members in order; null for a body that is not one JSON object and nothing else.
+
+    The parser ignores what follows an object. After the object an array goes
+    on with ``,`` or ``]``, a member with ``,`` or ``}``, and a comma makes the
+    array longer: only the end of the text lets both readings succeed.
+    """
+    strict = {"allowSingleQuotes": "false"}
+    members = F.from_json(text, "map<string,string>", strict)
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", strict)
+    inside = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v map<string,string>", strict)
+    pairs = F.transform(
         F.map_entries(members),
         lambda m: F.struct(m["key"].alias("name"), F.coalesce(m["value"], F.lit("")).alias("value")),
     )
+    return F.when((F.size(listed) == 1) & inside["v"].isNotNull(), pairs)
 
 
 def xml_leaves(text: str):

@@ -22,13 +22,13 @@ def _log(p: Column) -> Column:
 
 
 def with_score_parameters(models: DataFrame) -> DataFrame:
-    """Add what scoring reads, once per model: ``lp`` log start, ``tt``
-    transitions by destination state, ``lt`` their logs, ``em`` emission terms."""
+    """Add what scoring reads, once per model: ``lp`` log start, ``lt`` logs of
+    the transitions by destination state, ``em`` emission terms."""
     states = F.sequence(F.lit(0), F.col("n_components") - 1)
     turned = F.transform(states, lambda j: F.transform("transmat", lambda row: F.element_at(row, j + 1)))
-    return models.withColumn("tt", turned).withColumns({
+    return models.withColumns({
         "lp": F.transform("startprob", _log),
-        "lt": F.transform("tt", lambda into: F.transform(into, _log)),
+        "lt": F.transform(turned, lambda into: F.transform(into, _log)),
         "em": F.zip_with(
             "means", "vars",
             lambda m, v: _emission_terms(m, v),
@@ -89,25 +89,19 @@ def _single_state(symbols: Column) -> Column:
 
 
 def _two_states(states: Column) -> Column:
-    """The recursion written out for the most frequent size above one.
-
-    With r = exp(b - a), log(exp(a)P + exp(b)Q) is a + log(P + rQ): one
-    exponential and one logarithm per state. Where r leaves the range of a
-    double the sum is formed in log space.
+    """The recursion written out for the most frequent size above one: one
+    exponential and one logarithm per state and symbol, always in log space, so
+    that every model goes by one formula. A path that can't be taken is minus
+    infinity, never null.
     """
-    lt, tt, em = F.col("lt"), F.col("tt"), F.col("em")
+    lt, em = F.col("lt"), F.col("em")
 
     def log_add(a, b):
         top = F.greatest(a, b)
         return F.when(top == _NEVER, top).otherwise(top + F.log1p(F.exp(F.least(a, b) - top)))
 
     def into(j, alpha, x):
-        a, b = alpha["a"], alpha["b"]
-        near = a + F.log(tt[j][0] + tt[j][1] * F.exp(b - a))
-        u, v = a + lt[j][0], b + lt[j][1]
-        # exp(-40) is below the last bit of the larger term
-        far = F.when(F.abs(u - v) > 40, F.greatest(u, v)).otherwise(log_add(u, v))
-        return F.when(F.abs(b - a) < 700, near).otherwise(far) + _emission(em[j], x)
+        return log_add(alpha["a"] + lt[j][0], alpha["b"] + lt[j][1]) + _emission(em[j], x)
 
     first = F.struct(*[
         (F.col("lp")[j] + _emission(em[j], states[0])).alias(n) for j, n in enumerate("ab")
@@ -151,4 +145,4 @@ def score(joined: DataFrame) -> DataFrame:
     """Add ``score`` to observations that carry their model's columns."""
     ready = joined if "lp" in joined.columns else with_score_parameters(joined)
     likelihood = log_likelihood(F.col("symbols"))
-    return ready.withColumn("score", likelihood).drop("lp", "tt", "lt", "em")
+    return ready.withColumn("score", likelihood).drop("lp", "lt", "em")

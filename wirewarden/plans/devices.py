@@ -6,9 +6,9 @@ from ..functions import device_day_key, device_name, message_field
 from ..functions.messages import epoch_ms_day
 
 
-def split_lines(df: DataFrame, value: str = "value") -> DataFrame:
-    """One row per line of a text value."""
-    return df.select(F.explode_outer(F.split(value, "\n")).alias("message")).where("message is not null")
+def split_lines(df: DataFrame, value: str = "value", *keep: str) -> DataFrame:
+    """One row per line of a text value, next to the columns in ``keep``."""
+    return df.select(*keep, F.explode_outer(F.split(value, "\n")).alias("message")).where("message is not null")
 
 
 def with_device_fields(messages: DataFrame) -> DataFrame:
