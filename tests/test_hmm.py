@@ -209,7 +209,7 @@ def test_salted_join_equals_broadcast_join(spark):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
     keyed = cut(facts.select("k").distinct().where("k <> 'k7'").withColumn("v", F.length("k")))
     def run(limit):
-        joined = join_keyed(facts, keyed, "k", F.lit(16), F.col("id"), limit=limit, salts=8)
+        joined = join_keyed(facts, keyed, "k", F.col("id"), limit=limit, salts=8)
         return joined, sorted(map(tuple, joined.select("id", "k", "v").collect()))
     broadcast, a = run(1 << 20)
     salted, b = run(0)

@@ -1,31 +1,52 @@
 """Joins of a skewed fact side with a keyed side, and model lookups."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from ..session import cut
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def join_keyed(facts: DataFrame, keyed: DataFrame, on: str, row_bytes: Column, spread: Column,
-               limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
-    """Inner equi-join that survives a hot key on the ``facts`` side.
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + F.lit(24)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+            return F.greatest(F.size(value), F.lit(0)) * 8 + F.lit(24)
+        return F.coalesce(F.aggregate(
+            value, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType)), F.lit(0)) + F.lit(24)
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def sent_bytes(df: DataFrame) -> int:
+    """Size of the columns of ``df``, which is stored, by one aggregation."""
+    row = sum((_bytes(F.col(f.name), f.dataType).cast("long") for f in df.schema), F.lit(16).cast("long"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def join_keyed(facts: DataFrame, keyed: DataFrame, on, spread: Column, limit: int = BROADCAST_BYTES,
+               salts: int = SALTS, how: str = "inner") -> DataFrame:
+    """Equi-join (inner, left_semi, left_anti) that survives a hot key on the ``facts`` side.
 
     ``keyed`` must be a stored table or a checkpoint: its size is measured by one
-    aggregation (``row_bytes`` per row). Up to ``limit`` it is broadcast and
-    the facts do not move. Beyond it both sides are shuffled on the key and a
-    salt, ``spread`` choosing the salt of a fact row, so the rows of one key
-    are divided over ``salts`` tasks.
+    aggregation over all its columns. Up to ``limit`` it is broadcast and the
+    facts do not move. Beyond it both sides are shuffled on the key and a salt,
+    ``spread`` choosing the salt of a fact row, so the rows of one key are
+    divided over ``salts`` tasks.
     """
-    size = keyed.agg(F.sum(row_bytes).alias("size")).first()["size"] or 0
-    if size <= limit:
-        return facts.join(F.broadcast(keyed), on)
+    keys = [on] if isinstance(on, str) else list(on)
+    if sent_bytes(keyed) <= limit:
+        return facts.join(F.broadcast(keyed), keys, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies.hint("merge"), [on, "_salt"]).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def model_bytes() -> Column:
-    """Size of a model row: k*k transitions, four k-vectors, the texts."""
+    """Size of a model's four arrays before there is one: k*k transitions, k-vectors, keys."""
     k = F.col("n_components")
     return k * k * 8 + k * 64 + F.lit(400)
 
@@ -45,15 +66,26 @@ def latest_models(models: DataFrame) -> DataFrame:
 def join_models(features: DataFrame, models: DataFrame, limit=BROADCAST_BYTES, salts=SALTS) -> DataFrame:
     """Each observation with its model; observations without one are dropped.
 
-    The p_type and p_name of the result are the model's.
+    The p_type and p_name of the result are the model's. Observations are
+    spread by their record where they have one, since a parameter may have a
+    single sequence, else by their sequence.
     """
     facts = features.drop(*({"p_type", "p_name"} & set(models.columns)))
-    return join_keyed(facts, models, "p_id", model_bytes(), F.col("symbols"), limit, salts)
+    return join_keyed(facts, models, "p_id", _spread(features), limit, salts)
+
+
+def _spread(features: DataFrame) -> Column:
+    return F.col("record_id" if "record_id" in features.columns else "symbols")
+
+
+def _keys(models: DataFrame) -> DataFrame:
+    return cut(models.select("p_id").distinct())
 
 
-def modelled(features: DataFrame, models: DataFrame) -> DataFrame:
-    return features.join(models.select("p_id"), "p_id", "left_semi")
+def modelled(features: DataFrame, models: DataFrame, limit=BROADCAST_BYTES, salts=SALTS) -> DataFrame:
+    return join_keyed(features, _keys(models), "p_id", _spread(features), limit, salts, "left_semi")
 
 
-def unmodelled(features: DataFrame, models: DataFrame) -> DataFrame:
-    return features.join(models.select("p_id"), "p_id", "left_anti")
+def unmodelled(features: DataFrame, models: DataFrame, limit=BROADCAST_BYTES, salts=SALTS) -> DataFrame:
+    """Observations, or grouped sequences, of parameters without a model."""
+    return join_keyed(features, _keys(models), "p_id", _spread(features), limit, salts, "left_anti")
