@@ -348,4 +348,13 @@ ORACLES = {
       seq as (select p_id, list_sum(list_transform(st, lambda x: -0.5 * ln(2 * pi() * v) - (x - mean) * (x - mean) / (2 * v))) as score from one join var using (p_id))
       select p_id, count(*) as n_seq, round(any_value(mean), 6) as mean, round(any_value(v), 9) as variance, round(min(score), 5) as profile from seq join var using (p_id) group by p_id""",
       "features", "groups"),
+    "rejected_archive_lines": text("""select method, count(*) as n, true as kept from http_records
+      where event_id % 7 <> 0 and event_id % 11 <> 0 group by 1
+      union all select case when event_id % 7 = 0 then 'cut' else 'mistyped' end, count(*), false from http_records
+      where event_id % 7 = 0 or event_id % 11 = 0 group by 1""", "http_records"),
+    "rejected_messages": text("""select substr(message, 1, 8) as message, count(*) as n from device_messages
+      where ends_with(message, '3') group by 1""", "device_messages"),
+    "rejected_flows": text("""select http_type, count(*) as n from flow_records
+      where not ends_with(split_part(record_id, '#', 1), '3') group by 1
+      union all select 'unreadable name', count(*) from flow_raw where ends_with(path, '3')""", "flow_records", "flow_raw"),
 }

@@ -27,6 +27,7 @@ from ..operators.requests import (
 from ..operators.scoring import score, with_score_parameters
 from ..operators.thresholds import alarm_columns, anomalies, outside_three_sigma, score_profiles, worst_sequences
 from ..plans.detect import detect
+from ..plans import devices
 from ..plans.devices import count_day_device, split_lines, with_device_fields
 from ..plans.options import TrainOptions
 from ..plans.train import observed_sequences, train_groups, train_sequences
@@ -34,6 +35,7 @@ from ..schemas import HTTP_FIELDS
 from ..session import cut, shared_path
 from ..operators.training import repaired
 from ..sources.queue import queue_messages
+from ..sources import tables
 from ..sources.tables import read_archive, read_models, write_archive, write_models
 from . import derived
 
@@ -189,6 +191,43 @@ def rejected_records(spark, sf):
     return feat.rejected_records(_requests(spark, sf)).select("record_id", "reason")
 
 
+@query
+def rejected_archive_lines(spark, sf):
+    """An archive with cut lines and lines of one mistyped field: what is kept and what is rejected."""
+    line = F.to_json(F.struct(*HTTP_FIELDS))
+    broken = F.when(F.col("event_id") % 7 == 0, F.substring(line, 1, 60)).when(
+        F.col("event_id") % 11 == 0, F.regexp_replace(line, '"flow_time":', '"flow_time":"x",  "was":')).otherwise(line)
+    path = shared_path(spark, "archive")
+    derived.http_records(spark, sf).select(broken.alias("value")).write.text(path)
+    kept = read_archive(spark, path, "json").groupBy("method").agg(F.count("*").alias("n"))
+    lost = tables.rejected_archive_lines(spark, path).groupBy(
+        F.when(F.length("value") == 60, "cut").otherwise("mistyped").alias("method")).agg(F.count("*").alias("n"))
+    return kept.withColumn("kept", F.lit(True)).unionByName(lost.withColumn("kept", F.lit(False)))
+
+
+@query
+def rejected_messages(spark, sf):
+    """Device messages, those of some devices cut off: what can't be counted."""
+    whole = derived.device_messages(spark, sf)
+    cut_off = F.when(F.endswith("message", F.lit("3")), F.substring("message", 1, 8)).otherwise(F.col("message"))
+    return devices.rejected_messages(whole.select(cut_off.alias("message"))).groupBy("message").agg(
+        F.count("*").alias("n"))
+
+
+def _renamed_flows(spark, sf):
+    path = F.when(F.endswith("path", F.lit("3")), F.concat(F.lit("broken-"), "path")).otherwise(F.col("path"))
+    return derived.flow_raw(spark, sf).select(path.alias("path"), "content")
+
+
+@query
+def rejected_flows(spark, sf):
+    """Flows of which some have no readable name: rejected, and messages parsed from the others."""
+    raw = _renamed_flows(spark, sf)
+    parsed = flows.parse_flows(raw).groupBy("http_type").agg(F.count("*").alias("n"))
+    return parsed.unionByName(flows.rejected_flows(raw).groupBy(F.col("reason").alias("http_type")).agg(
+        F.count("*").alias("n")))
+
+
 # scalar functions over whole texts ---------------------------------------------
 
 def _documents(spark, sf):

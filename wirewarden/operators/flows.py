@@ -59,6 +59,16 @@ def flow_tuple(path: Column) -> dict:
     }
 
 
+def _located() -> Column:
+    name = F.substring(F.substring_index("path", "/", -1), 1, _NAME_LENGTH)
+    return name.rlike(_NAME) & flow_tuple(F.col("path"))["flow_time"].isNotNull()
+
+
+def rejected_flows(flows: DataFrame) -> DataFrame:
+    """Flows whose file name tells no time and addresses; ``parse_flows`` leaves them out."""
+    return flows.where(~F.coalesce(_located(), F.lit(False))).select("path", F.lit("unreadable name").alias("reason"))
+
+
 def split_messages(flows: DataFrame) -> DataFrame:
     """One row per HTTP message of a flow: path, msg_no, kind, message."""
     text = flows.select("path", flow_text(F.col("content")).alias("text"))
@@ -139,8 +149,10 @@ def parse_responses(messages: DataFrame) -> DataFrame:
 
 
 def parse_flows(flows: DataFrame) -> DataFrame:
-    """All 19 fields of every message, plus ``record_id`` (file name and message number)."""
-    messages = parse_messages(split_messages(flows))
+    """All 19 fields of every message, plus ``record_id`` (file name and message number).
+
+    A flow without a readable name is in ``rejected_flows``."""
+    messages = parse_messages(split_messages(flows.where(_located())))
     located = messages.withColumns(flow_tuple(F.col("path"))).withColumn(
         "record_id", F.concat_ws("#", F.substring_index("path", "/", -1), "msg_no")
     )

@@ -19,3 +19,8 @@ def with_device_fields(messages: DataFrame) -> DataFrame:
 def count_day_device(messages: DataFrame) -> DataFrame:
     keyed = messages.select(device_day_key(F.col("message")).alias("day_device"))
     return keyed.where("day_device is not null").groupBy("day_device").agg(F.count("*").alias("n"))
+
+
+def rejected_messages(messages: DataFrame) -> DataFrame:
+    """Messages without a readable time or device, which ``count_day_device`` can't count."""
+    return messages.where(F.col("message").isNull() | device_day_key(F.col("message")).isNull())
