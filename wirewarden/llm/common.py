@@ -32,6 +32,28 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def in_small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
+    """``df`` for a function in Python over whole texts: its session passes Arrow
+    batches of few rows and bytes, as a worker holds several copies of one."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
+
+
+def parts(frame, column: str = "text", most: int = 4 << 20):
+    """A pandas batch in stretches of about ``most`` characters of ``column``, so
+    that what is made of a batch stays small however long its texts are."""
+    start = held = 0
+    for at, text in enumerate(frame[column]):
+        held += len(text) if text is not None else 0
+        if held >= most:
+            yield frame.iloc[start:at + 1]
+            start, held = at + 1, 0
+    if start < len(frame):
+        yield frame.iloc[start:]
+
+
 def slices_for(rows: int, per_slice: int = 200_000, least: int = 8) -> int:
     return max(least, -(-rows // per_slice))
 
