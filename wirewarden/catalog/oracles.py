@@ -357,4 +357,12 @@ ORACLES = {
     "rejected_flows": text("""select http_type, count(*) as n from flow_records
       where not ends_with(split_part(record_id, '#', 1), '3') group by 1
       union all select 'unreadable name', count(*) from flow_raw where ends_with(path, '3')""", "flow_records", "flow_raw"),
+    "stream_archive": text(f"select {_FIELDS} from http_records", "http_records"),
+    "stream_detect": text(f"""select distinct r.flow_time, r.src_port, r.uri, s.p_id, s.p_name, round(s.score, 6) as score,
+      s.profile as p_profile, '{ALARM_TYPE}' as alarm_type
+      from scored s join http_records r using (record_id) where s.score < s.profile""", "scored", "http_records"),
+    "stream_documents": text("""select flow_time, nullif(method, '') as method, nullif(uri, '') as uri, nullif(cookie, '') as cookie,
+      nullif(data, '') as data from (select distinct on (""" + _FIELDS + """) * from http_records)""", "http_records"),
+    "stream_counts": text("""select strftime(make_timestamp(cast(split_part(split_part(message, chr(1), 1), chr(2), 2) as bigint) * 1000), '%Y-%m-%d')
+      || '|' || split_part(split_part(message, chr(1), 2), chr(2), 2) as day_device, cast(count(*) as bigint) as n from device_messages group by 1""", "device_messages"),
 }

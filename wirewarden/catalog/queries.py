@@ -31,12 +31,14 @@ from ..plans import devices
 from ..plans.devices import count_day_device, split_lines, with_device_fields
 from ..plans.options import TrainOptions
 from ..plans.train import observed_sequences, train_groups, train_sequences
-from ..schemas import HTTP_FIELDS
+from ..schemas import HTTP_FIELDS, MODELS
 from ..session import cut, shared_path
 from ..operators.training import repaired
-from ..sources.queue import queue_messages
+from ..sources.queue import queue_messages, read_text_stream
+from ..sources.sinks import DocumentSink, read_documents
 from ..sources import tables
 from ..sources.tables import read_archive, read_models, write_archive, write_models
+from ..streaming import jobs
 from . import derived
 
 QUERIES = {}
@@ -652,3 +654,62 @@ def train_and_detect(spark, sf):
     return detect(records, models).select(
         "record_id", "alarm_type", "p_id", "p_name", "p_type", "p_profile", "score", "uri", "alarm_id"
     )
+
+
+# streams over files, run until all input is read ------------------------------------
+
+_ALL = {"availableNow": True}
+
+
+def _messages(spark, sf, values):
+    """A folder of text messages below the shared folder, as a stream."""
+    path = shared_path(spark, "messages")
+    values.write.text(path)
+    return read_text_stream(spark, path, files_per_trigger=4)
+
+
+def _record_messages(spark, sf):
+    return _messages(spark, sf, queue_messages(derived.http_records(spark, sf)).select(F.col("value").cast("string")))
+
+
+@query
+def stream_archive(spark, sf):
+    path = shared_path(spark, "stream-archive")
+    jobs.archive_stream(_record_messages(spark, sf), path, shared_path(spark, "progress"), trigger=_ALL).awaitTermination()
+    return read_archive(spark, path).select(*HTTP_FIELDS)
+
+
+@query
+def stream_detect(spark, sf):
+    """Alarms of the live job with the hand-set models, as documents."""
+    models, root = _named_models(_features(spark, sf)), shared_path(spark, "stream-models")
+    have = set(models.columns)
+    kinds = dict(f.split() for f in MODELS.split(", "))
+    write_models(models.select(*[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]),
+                 root, "1")
+    sink = DocumentSink("alarms", shared_path(spark, "documents"))
+    jobs.detect_stream(_record_messages(spark, sf), root, sink, shared_path(spark, "progress"), trigger=_ALL).awaitTermination()
+    found = read_documents(spark, sink, "flow_time bigint, src_port string, uri string, p_id string, p_name string, "
+                                        "score double, p_profile double, alarm_type string")
+    return found.select("flow_time", "src_port", "uri", "p_id", "p_name", F.round("score", 6).alias("score"),
+                        "p_profile", "alarm_type")
+
+
+@query
+def stream_documents(spark, sf):
+    """The records themselves as documents, without their empty fields."""
+    sink = DocumentSink("records", shared_path(spark, "documents"), id_field="record_id")
+    jobs.index_stream(_record_messages(spark, sf), sink, shared_path(spark, "progress"), trigger=_ALL).awaitTermination()
+    return read_documents(spark, sink, "flow_time bigint, method string, uri string, cookie string, data string").drop("_id")
+
+
+@query
+def stream_counts(spark, sf):
+    """Messages per day and device, added up over the micro-batches' text folders."""
+    prefix = shared_path(spark, "counts") + "/part"
+    lines = derived.device_messages(spark, sf).select(F.to_json(F.struct("message")).alias("value"))
+    jobs.count_stream(_messages(spark, sf, lines), prefix, shared_path(spark, "progress"), trigger=_ALL).awaitTermination()
+    read = spark.read.text(f"{prefix}-*").select(
+        F.regexp_extract("value", r"^\('(.*)', (\d+)\)$", 1).alias("day_device"),
+        F.regexp_extract("value", r"^\('(.*)', (\d+)\)$", 2).cast("bigint").alias("n"))
+    return read.groupBy("day_device").agg(F.sum("n").alias("n"))
