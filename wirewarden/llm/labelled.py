@@ -7,6 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import in_small_batches
+
 #: labelled documents that a classifier is fitted on
 SAMPLE = 8000
 
@@ -22,14 +24,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, where, s
         labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).where(where)
         .groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+    return in_small_batches(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select(
         "label", F.coalesce("text", F.lit("")).alias("text"))
 
 
 class Hasher:
     """Distinct buckets of strings, remembered up to a bound; ``parts`` of a string are hashed with it."""
 
-    def __init__(self, buckets, parts=lambda term: (term,), most=300_000):
+    def __init__(self, buckets, parts=lambda term: (term,), most=100_000):
         self.buckets, self.parts, self.most, self.known = buckets, parts, most, {}
 
     def _add(self, term):
@@ -84,17 +86,17 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def score_column(score_text) -> Column:
-    """Scores of column ``text`` by a function of the whole text; a null text is an empty one."""
+def score_column(score_text, text: str = "text") -> Column:
+    """Scores of a text column by a function of the whole text; a null text is an empty one."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([score_text(t or "") for t in texts], dtype="float64")
 
-    return score("text")
+    return score(text)
 
 
 def scored(docs: DataFrame, score_text, threshold: float) -> DataFrame:
     """(doc_id, score, predicted) of every row by a function of the text."""
-    return docs.select("doc_id", score_column(score_text).alias("score")).withColumn(
+    return in_small_batches(docs).select("doc_id", score_column(score_text).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))

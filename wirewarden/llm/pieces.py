@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: words and pairs remembered by a worker, and the longest of the words
@@ -219,7 +221,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": vocabulary(path).encode_batch(frame[text_col])})
 
-    return docs.select("doc_id", text_col).mapInPandas(run, "doc_id long, ids array<int>")
+    return in_small_batches(docs.select("doc_id", text_col)).mapInPandas(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -246,5 +248,5 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((doc, len(ids), crc, vocab.decode(ids) == (text or "").replace(MARK, " ")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids_crc32", "exact"])
 
-    return docs.select("doc_id", "text").mapInPandas(
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(
         run, "doc_id long, n_ids long, ids_crc32 long, exact boolean")

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import in_small_batches
 from .labelled import SAMPLE, TOKEN, fit_in_one_task, labelled_sample, score_column, scored, sigmoid
 
 #: hash buckets of n-grams, least documents of one, smoothing of the counts
@@ -17,7 +18,7 @@ PENALTY, ROUNDS, TOLERANCE = 1.0, 60, 1e-3
 LENGTH = 8.0
 
 #: codes of tokens: a hash of the lower-case form, and two flags above it
-_WORD, _CAPITAL, _KNOWN, _MOST = 1 << 32, 1 << 33, {}, 300_000
+_WORD, _CAPITAL, _KNOWN, _MOST = 1 << 32, 1 << 33, {}, 100_000
 _SAME, _CAPITALS = (zlib.crc32(x) % BUCKETS for x in (b"same same same", b"capitals capitals"))
 
 
@@ -162,5 +163,6 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores ``threshold`` or more, columns unchanged."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.withColumn("_score", score_column(lambda text: sent.value.score(text)))
-    return marked.where(F.col("_score") >= threshold).drop("_score")
+    rows = in_small_batches(docs).select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    marked = rows.withColumn("score", score_column(lambda text: sent.value.score(text)))
+    return marked.where(F.col("score") >= threshold).select("row.*")
