@@ -1,0 +1,587 @@
+"""The ten operators against plain versions, on small tables with every odd case."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wirewarden.llm import (
+    common, host_rules, jaccard, langid, neardup, packing, pieces, pii, quality, sharding, toxicity,
+)
+from wirewarden.llm.queries import QUERIES, fold, tokenizer
+from wirewarden.llm.shingles import shingles
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, row long, seeds int, _c int"
+RNG = random.Random(4)
+VOCABULARY = ["the", "of", "Ab", "né", "日本", "x1", "#", "no.", "w|w", "STOP", "été", "😀"] + [f"w{i}" for i in range(30)]
+
+
+def sentence(n, rng=RNG):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+def odd_texts():
+    long = sentence(6000)
+    copy = sentence(80)
+    near = [copy.replace("w1 ", f"w{i} ", 1) + " end" for i in range(12)]
+    return [
+        None, "", " ", "\n\n", "\t\x0b\f\r", "one", "one two", "a b c d", "A B C D", "a b c", "😀", "\u0085",
+        "long " * 60, "line one\nline one\n\n \nline two", long, long + " more", copy, copy, copy.upper(), *near,
+        "x" * 5000, "7" * 3000, "1 " * 2000, "+1 " * 500, "@" * 300, "a@" * 300, "1.2.3.4." * 200, " \n" * 500,
+        "mail a@b.c%d@e.f, a.b@c d@e. x@y.z.", "ip 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255 1.2.3",
+        "card 4111 1111 1111 1111 4111-1111-1111-1112 411111111111111 +1 (415) 555-2671 x+12-3 +1234567890123456",
+        "é 4111111111111111 😀 a_b+c@d-e.fr 10.0.0.1\n+44 20 7946 0958.",
+        "tel:+1 415 555 2671 tel:+1 415 555 2672 tel:+1 415 555 2673 tel:5550199",
+        "call me at +1 415 555 2674 today", "call me at +1 415 555 2675 now", "call me at +1 415 555 2676 or",
+        "call me at 5550-1234 please", "call them at 5550-9999", "<s></s><0x0A> ▁▁ ▁", sentence(700),
+    ]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    texts = odd_texts()
+    out = [(i, t, [None, "en", "fr"][i % 3], [None, "h1", "h2", "h1"][i % 4], None, "clash", i, 1, 2)
+           for i, t in enumerate(texts)]
+    return out + [(5000 + i, sentence(60 + i % 7), "en", "h1", 1, "c", 0, 0, 0) for i in range(40)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5, "doc_id").cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+# sharding
+
+def test_sharding(docs, rows, empty):
+    got = sharding.shard(docs, 7).collect()
+    texts = {r[0]: r[1] or "" for r in rows}
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    of, slots, loads = {}, defaultdict(list), Counter()
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
+        assert of.setdefault(texts[r.doc_id], r.shard) == r.shard
+        slots[r.shard].append(r.slot)
+        loads[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    groups = Counter()
+    for t in texts.values():
+        groups[t] += len(t.encode()) + 16
+    expected = Counter()
+    for size, b in zip(sorted(groups.values(), reverse=True), sharding.level_bins(sorted(groups.values(), reverse=True), 7)):
+        expected[b] += size
+    # parcels move no shard by more than a parcel or two
+    assert sorted(loads.values()) == pytest.approx(sorted(expected.values()), rel=0.02)
+    assert sharding.shard(empty, 7).count() == 0
+    twice = sharding.shard(docs.unionByName(docs), 7).collect()
+    assert len(twice) == 2 * len(texts)
+    assert all(len({r.shard for r in twice if r.doc_id == i}) == 1 for i in list(texts)[:20])
+
+
+# language
+
+def test_language_spans_and_scores(spark):
+    en = ["the cat and the dog went to the house with the man who had that " * 3 + f"thing{i}" for i in range(30)]
+    fr = ["le chat et la souris sont dans une maison avec les enfants qui jouent où " * 3 + f"chose{i}" for i in range(30)]
+    ru = ["кошка и собака пошли в дом с человеком который был там " * 3] * 5
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(t, "en") for t in en] + [(t, "fr") for t in fr] + [(t, "ru") for t in ru])]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(train)
+    assert model.languages == ["en", "fr", "ru"]
+    mixed = "the man went to the house and the cat had that. " * 2 + "les enfants jouent dans la maison avec le chat. " * 2 + "собака пошли"
+    texts = [None, "", "123 !?", en[0], fr[0], ru[0], mixed, "日本", "x" * 10, (en[0] + " ") * 300]
+    got = by_id(langid.label_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model))
+    assert [got[i].lang_pred for i in range(7)] == ["und", "und", "und", "en", "fr", "ru", "fr"]
+    assert [got[i].score for i in range(6)] == [0, 0, 0, 1, 1, 1] and 0 < got[6].score < 1
+    assert [s.lang for s in got[6].spans] == ["en", "fr", "ru"]
+    assert mixed[got[6].spans[2].start:got[6].spans[2].end] == "собака пошли" and got[9].lang_pred == "en"
+    assert langid.train(train.limit(0)).label("abc") == ("und", 0.0, [])
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_viterbi_equals_all_paths():
+    import itertools
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        n, k = r.integers(1, 7), r.integers(1, 4)
+        s = r.normal(size=(n, k)) * 3
+        def value(p):
+            return sum(s[i, a] for i, a in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:]))
+        best = max(itertools.product(range(k), repeat=n), key=value)
+        assert value(langid.viterbi(s, 2.0)) == pytest.approx(value(best))
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    text = sentence(400)
+    whole = langid._words(text)
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    cut = [(shift + a, shift + b) for shift, p in langid._pieces(text) if (w := langid._words(p))
+           for a, b in zip(w[0].tolist(), w[1].tolist())]
+    assert cut == list(zip(whole[0].tolist(), whole[1].tolist()))
+
+
+# classifiers
+
+def labelled(spark, n=400):
+    r = random.Random(2)
+    rows, labels = [], []
+    for i in range(n):
+        words = [r.choice(VOCABULARY) for _ in range(40)]
+        insult, group = r.random() < 0.4, r.random() < 0.4
+        words += ["fool"] * insult + ["martians"] * group
+        r.shuffle(words)
+        bad = r.random() < 0.3
+        if bad:
+            words = [w + " ***" for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not bad), int(insult and group)))
+    return (spark.createDataFrame(rows, "doc_id long, text string"),
+            spark.createDataFrame(labels + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int"))
+
+
+def test_factorization_machine_learns_pairs(spark, empty):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels, fold(4) != 2)
+    got = by_id(toxicity.score_documents(docs, model))
+    truth = by_id(labels.where("doc_id is not null and toxic is not null"))
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(held) > 50 and np.mean([got[i].predicted == truth[i].toxic for i in held]) > 0.95
+    assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got.values())
+    # neither half of the pair is enough
+    few = spark.createDataFrame([(1, "fool w1 w2"), (2, "martians w1 w2"), (3, "fool martians w1"), (4, None), (5, "")],
+                                "doc_id long, text string")
+    s = by_id(toxicity.score_documents(few, model))
+    assert s[3].score > max(s[1].score, s[2].score) and s[4].score == s[5].score
+    assert toxicity.score_documents(empty, model).count() == 0
+    unlearned = toxicity.train(docs, labels.limit(0), F.lit(True))
+    assert by_id(toxicity.score_documents(few, unlearned))[3].score == 0.5
+
+
+def test_pair_sum_equals_its_definition():
+    r = np.random.default_rng(1)
+    weight, vector = r.normal(size=9), r.normal(size=(9, 3))
+    rows = [np.array([0, 2, 5]), np.array([8]), np.array([1, 2, 3, 4])]
+    flat = np.concatenate(rows)
+    got = toxicity.machine(0.3, weight, vector, flat, np.array([0, 3, 4]))
+    want = [0.3 + weight[x].sum() + sum(vector[i] @ vector[j] for a, i in enumerate(x) for j in x[a + 1:]) for x in rows]
+    assert got == pytest.approx(want)
+
+
+def test_support_vectors_learn_quality(spark, docs, empty):
+    some, labels = labelled(spark)
+    model = quality.train(some, labels, fold(3) != 1)
+    got = by_id(quality.score_documents(some, model))
+    truth = by_id(labels.where("doc_id is not null and quality is not null"))
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i].predicted == truth[i].quality for i in held]) > 0.95
+    kept = quality.keep_good(docs, model)
+    scored = by_id(quality.score_documents(docs, model))
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in scored.items() if r.predicted}
+    assert quality.keep_good(empty, model).count() == 0
+    assert quality.Model(quality.pd.DataFrame()).score("abc") == 0.5
+
+
+def test_dual_descent_reaches_the_optimum():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 4))
+    y = np.where(x[:, 0] + 0.3 * r.normal(size=60) > 0, 1.0, -1.0)
+    w = quality.dual_descent([np.arange(4)] * 60, list(x), y, 4)
+
+    def loss(w):
+        return (w @ w) / 2 + quality.PENALTY * np.maximum(0, 1 - y * (x @ w[:4] + w[4])).sum()
+
+    assert all(loss(w) <= loss(w + 0.05 * r.normal(size=5)) + 1e-6 for _ in range(200))
+
+
+# personal data
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain_seeds(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")),
+                "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), k, m.end(), kind))
+    return sorted(out)
+
+
+def test_personal_data(docs, rows, empty):
+    got = by_id(pii.digest(pii.find(docs)))
+    more = 0
+    for doc, text, *_ in rows:
+        want = plain_seeds(text or "")
+        digest = ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+        r = got[doc]
+        assert r.base_sha256 == hashlib.sha256(digest.encode()).hexdigest(), (doc, digest, r)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == w[3] for w in want) for k in PLAIN]
+        spans = [s for s in r.spans.split(",") if s]
+        assert set(digest.split(",")) - {""} <= set(spans)
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), list(PLAIN).index(s.split(":")[0])))
+        more += len(spans) - len(want)
+        found = [(text or "")[int(s.split(":")[1]):int(s.split(":")[2])] for s in spans]
+        if text and text.startswith("call them"):
+            assert not found
+    assert pii.find(empty).count() == 0
+
+
+def test_patterns_discover_unseen_identifiers(spark):
+    seeds = [f"please call me at +1 415 555 {2670 + i} today" for i in range(9)]
+    texts = seeds + ["please call me at 5550-1234 today", "we call them at 5550-9999", "id 123456 of the", "of the +1 415 555 2000",
+                     "of the +1 415 555 2001", "of the +1 415 555 2002", "of the 123456", "all of the rest of the story"]
+    got = by_id(pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    assert got[9].spans == "phone:18:27" and got[10].spans == "" and got[11].spans == ""
+    assert got[15].spans == ""  # the words in front also precede ordinary words
+    assert [got[i].n_phone for i in range(9)] == [1] * 9
+
+
+def test_redaction(docs, rows):
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    got, spans = by_id(out), by_id(pii.find(docs))
+    for doc, text, *rest in rows:
+        r = got[doc]
+        if text is None or not spans[doc].spans:
+            assert r.text == text and r.n_chars == rest[2]
+            continue
+        merged = []
+        for s in spans[doc].spans:
+            if merged and s.start < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], s.end)
+            else:
+                merged.append([s.start, s.end, s.kind])
+        want, at = "", 0
+        for a, b, kind in merged:
+            want, at = want + text[at:a] + f"[{list(PLAIN)[kind].upper()}]", b
+        assert r.text == want + text[at:] and r.n_chars == len(r.text)
+
+
+# Jaccard join
+
+def words_of(text):
+    table = {c: c + 32 for c in range(65, 91)}
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(table))
+
+
+def plain_sets(rows):
+    out = {}
+    for doc, text, *_ in rows:
+        w = words_of(text)
+        out[doc] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return out
+
+
+def plain_components(sets):
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1:]:
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i in ids}
+
+
+def versions(n=150):
+    """Chains of versions, passages shared by many, and copies: links of every kind near the threshold."""
+    r = random.Random(9)
+    passage, out = [sentence(60, r) for _ in range(3)], []
+    for i in range(12):
+        words = sentence(r.choice([8, 20, 60, 200]), r).split() + [f"t{i}"]
+        for _ in range(n // 12):
+            words = list(words)
+            for _ in range(r.choice([0, 1, 1, 2, 4])):
+                words[r.randrange(len(words))] = f"e{r.randrange(50)}"
+            out.append(" ".join(words) + (" " + r.choice(passage) if r.random() < 0.4 else ""))
+    return out
+
+
+@pytest.mark.parametrize("chunk,frequent", [(2000, 4000), (4, 40), (7, 1)])
+def test_jaccard_components(spark, rows, docs, monkeypatch, chunk, frequent):
+    """Whole blocks and blocks cut into chunks, with and without frequent shingles, equal brute force."""
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
+    monkeypatch.setattr(jaccard, "SAMPLE", frequent)
+    more = [(10_000 + i, t, *[None] * 7) for i, t in enumerate(versions())]
+    every = rows + more
+    sets = plain_sets(every)
+    want = plain_components(sets)
+    got = by_id(jaccard.components_by_shingles(docs.unionByName(spark.createDataFrame(more, SCHEMA))))
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(got[i].n_shingles == len(s) for i, s in sets.items())
+    assert len(set(want.values())) < len(want) - 40
+
+
+def test_jaccard_edges(spark, empty, docs):
+    assert jaccard.components_by_shingles(empty).count() == 0
+    kept = jaccard.drop_duplicates(docs)
+    comps = by_id(jaccard.components_by_shingles(docs))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in comps.items() if i == r.component_id)
+
+
+def test_shingles_are_the_same_in_pieces(monkeypatch):
+    from wirewarden.llm import shingles as module
+    texts = [t for t in odd_texts() if t]
+    whole = [shingles(t) for t in texts]
+    monkeypatch.setattr(module, "CHUNK", 64)
+    assert all((a == shingles(t)).all() for a, t in zip(whole, texts))
+    assert len(shingles("a b")) == 1 and len(shingles(None)) == 0 and len(np.intersect1d(shingles("a b"), shingles("a  B"))) == 1
+
+
+def test_rtree_finds_every_partner():
+    r = np.random.default_rng(2)
+    points = r.poisson(2.0, (300, 16))
+    points[100:200] = points[:100] + (r.random((100, 16)) < 0.05)
+    sizes = points.sum(axis=1)
+    tree = jaccard.RTree(points, sizes, np.zeros(300, "int64"))
+    for i in range(0, 300, 7):
+        shared = np.minimum(points[i], points).sum(axis=1)
+        want = set(np.nonzero(jaccard.linked(shared, sizes[i], sizes))[0].tolist()) - {i}
+        got = {j for at in tree.candidates(points[i], sizes[i], 0, lambda at: at == i) for j in at.tolist()}
+        assert want <= got
+
+
+# encoding
+
+def test_pieces_equal_the_library_and_come_back(docs, rows, empty):
+    import sentencepiece
+    path = tokenizer("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoded = pieces.encode(docs, path)
+    got, back, trips = by_id(encoded), by_id(pieces.decode(encoded, path)), by_id(pieces.round_trips(docs, path))
+    for doc, text, *_ in rows:
+        ids = model.encode(text or "")
+        assert list(got[doc].ids) == ids
+        assert back[doc].text == (text or "").replace("▁", " ") and trips[doc].exact
+        assert (trips[doc].n_ids, trips[doc].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert pieces.encode(empty, path).count() == 0
+
+
+def test_unigram_walk_is_the_best_path():
+    import itertools
+    r = random.Random(6)
+    texts = ["a", "b", "ab", "ba", "aab", "bab", "abab", "▁", "▁a"]
+    scores = [-r.random() * 5 for _ in texts]
+    vocab = pieces.Vocabulary([None] * 257 + texts, [0.0] * 257 + scores, list(range(1, 257)), unigram=True)
+    known = dict(zip(texts, scores))
+    words = sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 8))) for _ in range(60)} | {"▁ab", "▁▁a"})
+    for word, ids in vocab.walk(words):
+        splits = ["".join(c + "|" * k for c, k in zip(word, (*cuts, 0))).split("|")
+                  for cuts in itertools.product([0, 1], repeat=len(word) - 1)]
+        best = max(sum(known[p] for p in parts) for parts in splits if all(p in known for p in parts))
+        assert sum(vocab.scores[vocab.texts[i]] for i in ids) == pytest.approx(best)
+
+
+# packing
+
+def test_packing(docs, rows, empty):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    got = packing.pack_documents(docs, tokenizer("byte_bpe_50k.tiktoken"), 128).collect()
+    pieces_of, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces_of[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    lengths = []
+    for doc, text, *_ in rows:
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        own = sorted(pieces_of[doc], key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and (len(own) == 1 or all(r.length == 128 for r in own[1:]))
+        at = 0
+        for r in own:
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+        lengths += [r.length for r in own]
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 128
+    from test_packing_kernels import plain
+    assert len(sequences) == len(plain(lengths, 128))
+    assert packing.pack_documents(empty, tokenizer("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_byte_bpe_equals_the_tokenizer_on_every_character():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    own = packing.byte_bpe(tokenizer("byte_bpe_50k.tiktoken"))
+    texts = [f"a{chr(c)}a {chr(c)}{chr(c)}1  {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000][::7]
+    assert [own.encode_ordinary(t) for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+# embeddings
+
+def test_embedding_links(spark):
+    r = np.random.default_rng(7)
+    base = r.normal(size=(300, 16))
+    near = base[:80] + 0.03 * r.normal(size=(80, 16))
+    vectors = [*base.tolist(), *near.tolist(), *(base[:5].tolist() * 3)]
+    vectors += [None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] + [0.0] * 15, [1.0, 2.0], [2.0, 4.0], [1e-30] * 16, [1e30] * 16]
+    df = spark.createDataFrame([(i, v, 1, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int, dim int")
+    got = by_id(neardup.near_duplicates(df, pivots=32, prefix=8, head=5, shared=3), "vec_id")
+    ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in vectors]
+    links = {i: set() for i in range(len(vectors))}
+    for i in links:
+        for j in range(i):
+            if ok[i] and ok[j] and len(vectors[i]) == len(vectors[j]):
+                a, b = np.array(vectors[i]), np.array(vectors[j])
+                a, b = a / np.abs(a).max(), b / np.abs(b).max()
+                if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.9:
+                    links[i].add(j)
+                    links[j].add(i)
+    total = sum(map(len, links.values()))
+    assert all(got[i].n_links <= len(links[i]) for i in links)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * total > 0
+    assert all(r.kept == (r.vec_id == r.component_id) and r.component_id <= r.vec_id for r in got.values())
+    assert [got[i].n_links for i in range(len(vectors)) if not ok[i]] == [0] * ok.count(False)
+    assert got[len(vectors) - 3].component_id == len(vectors) - 4
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_hot_lists_are_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MAX_LIST", 256)
+    r = np.random.default_rng(8)
+    vectors = (np.ones(8) + 0.02 * r.normal(size=(900, 8))).tolist() + r.normal(size=(60, 8)).tolist()
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = by_id(neardup.near_duplicates(df, pivots=12, prefix=8, head=5, shared=3), "vec_id")
+    x = np.array(vectors)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    links = np.array([got[i].n_links for i in range(len(vectors))])
+    assert (links <= want).all() and links.sum() >= 0.9 * want.sum()
+    assert len({got[i].component_id for i in range(900)}) == 1
+
+
+def test_components_equal_plain_ones(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {x.node: x.component for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    loops = {a for a, b in edges if a == b}
+    assert all(got[i] == find(i) for i in got) and set(parent) - set(got) <= loops
+
+
+# quality rules
+
+def plain_rules(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen = Counter(zip(w, w[1:], w[2:]))
+    covered = {i + k for i in range(len(w) - 2) if seen[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(docs, rows, empty):
+    got = by_id(host_rules.judge(docs))
+    for doc, text, *_ in rows:
+        r = got[doc]
+        want = plain_rules(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, (doc, text and text[:50])
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and r.kept == (not r.base_failed)
+    kept = host_rules.keep_good(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert host_rules.judge(empty).count() == 0 and host_rules.keep_good(empty).count() == 0
+
+
+def test_host_verdicts(spark):
+    stats = [(f"h{h}", i < h) for h in range(10) for i in range(40)] + [("bad", i < 39) for i in range(40)] + [("tiny", True)] * 3 + [(None, True)] * 9
+    got = by_id(host_rules.host_verdicts(spark.createDataFrame(stats, "host string, base_failed boolean")), "host")
+    assert not got["bad"].host_kept and got["tiny"].host_kept and None not in got
+    assert all(got[f"h{h}"].host_kept for h in range(10))
+    rates = [h / 40 for h in range(10)] + [39 / 40, 1.0]
+    m, v = np.mean(rates), np.var(rates)
+    weight = m * (1 - m) / v - 1
+    assert got["h4"].shrunk_rate == pytest.approx((4 + m * weight) / (40 + weight))
+    single = by_id(host_rules.host_verdicts(spark.createDataFrame([("x", False)] * 30, "host string, base_failed boolean")), "host")
+    assert single["x"].host_kept
+
+
+# queries and pipeline
+
+COLUMNS = {
+    "op1": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op2": ["doc_id", "held_out", "lang_pred", "score"], "op3": ["doc_id", "held_out", "score", "predicted"],
+    "op4": ["doc_id", "held_out", "score", "predicted"],
+    "op5": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op6": ["doc_id", "n_shingles", "component_id"],
+    "op8": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op9": ["vec_id", "n_links", "component_id", "kept"],
+    "op10": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+}
+
+
+def test_queries_return_their_columns():
+    assert len(QUERIES) == 10
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_over_whole_table(spark, sf, name):
+    df = QUERIES[name](spark, sf)
+    op = name.split("_")[0]
+    if op in COLUMNS:
+        assert df.columns == COLUMNS[op]
+    table = "embeddings" if op == "op9" else "documents"
+    rows = spark.read.parquet(f"{sf}/{table}.parquet").count()
+    assert df.count() >= rows if op == "op8" else df.count() == rows
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.store(stage(spark, kept, sf), name)
+        assert out.columns == docs.columns and 0 < out.count() <= kept.count()
+        kept = out
+    assert pii.find(kept).where(F.size("spans") > 0).count() == 0
+    comps = jaccard.components_by_shingles(kept).where("doc_id <> component_id").count()
+    assert comps <= 1  # masking may make two texts alike
+    packed = corpus_pipeline.run(spark, sf)
+    assert packed.select("doc_id").distinct().count() == kept.count()

@@ -93,15 +93,15 @@ def fails_rules() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the five counts and base_failed as struct column ``rules``."""
-    s = document_stats(F.col(text_col))
-    return docs.select(
-        "*", s["counts"].alias("_c"), s["n_symbols"].alias("_s"), s["n_dup_lines"].alias("_d")).withColumn(
-        "rules", F.struct(
-            F.col("_c.n_words").alias("n_words"), F.col("_c.word_chars").alias("word_chars"),
-            F.col("_s").alias("n_symbols"), F.col("_d").alias("n_dup_lines"),
-            F.col("_c.n_repeat_words").alias("n_repeat_words"))).drop("_c", "_s", "_d")
+def with_stats(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
+    """The ``keep`` columns with the five counts of ``text`` and base_failed."""
+    s = document_stats(text)
+    counted = docs.select(
+        *keep, s["counts"].alias("c"), s["n_symbols"].alias("n_symbols"), s["n_dup_lines"].alias("n_dup_lines"))
+    kept = counted.columns[:len(keep)]
+    return counted.select(
+        *kept, "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words").withColumn(
+        "base_failed", fails_rules())
 
 
 def host_verdicts(stats: DataFrame, worst_rate: float = 0.9, least_docs: int = 20) -> DataFrame:
@@ -131,10 +131,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     each. The host table has a row per host; its join splits skewed hosts at
     run time. An empty table gives no rows; extra columns are ignored.
     """
-    stats = store(
-        with_stats(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"),
-                               F.col(text_col).alias("text")))
-        .select("doc_id", "host", "rules.*").withColumn("base_failed", fails_rules()), "rules")
+    stats = store(with_stats(
+        docs, F.col(text_col), F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host")), "rules")
     verdicts = host_verdicts(stats).select("host", "host_kept")
     return stats.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -143,10 +141,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
 
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, columns unchanged; texts are read once and not shuffled."""
-    marked = store(
-        with_stats(docs, text_col).select(*docs.columns, "rules.*")
-        .withColumn("base_failed", fails_rules()).select(*docs.columns, "base_failed"), "marked")
-    verdicts = host_verdicts(marked.select(F.col(host_col).cast("string").alias("host"), "base_failed"))
-    bad = broadcast_if_small(verdicts.where("not host_kept").select(F.col("host").alias("_host")))
-    good = marked.where("not base_failed")
-    return good.join(bad, good[host_col].cast("string") == F.col("_host"), "left_anti").select(*docs.columns)
+    marked = store(with_stats(
+        docs, F.col(text_col), F.struct(*docs.columns).alias("row"), F.col(host_col).cast("string").alias("host"))
+        .select("row", "host", "base_failed"), "marked")
+    bad = broadcast_if_small(host_verdicts(marked).where("not host_kept").select("host"))
+    return marked.where("not base_failed").join(bad, "host", "left_anti").select("row.*")

@@ -102,3 +102,27 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+_WORDS = r"[x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
+ORACLES["op10_quality_rules"] = rf"""
+with w as (select doc_id, source, coalesce(text, '') as t, {_WORDS} as w from documents),
+runs as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from w where len(w) > 2),
+marked as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from runs),
+covered as (select doc_id, count(distinct p) as n from (
+  select doc_id, unnest([i, i + 1, i + 2]) as p from marked where n > 1) group by doc_id),
+stats as (select w.doc_id, source, cast(len(w) as bigint) as n_words,
+    cast(coalesce(list_sum([length(x) for x in w]), 0) as bigint) as word_chars,
+    cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(len([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])
+      - len(list_distinct([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])) as bigint) as n_dup_lines,
+    cast(coalesce(covered.n, 0) as bigint) as n_repeat_words from w left join covered using (doc_id)),
+judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from stats),
+hosts as (select source, count(*) as docs, count(*) filter (base_failed) as failed from judged where source is not null group by 1),
+prior as (select avg(failed / docs) as m, var_pop(failed / docs) as v from hosts),
+weighed as (select m, case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1.0 end as k from prior),
+verdicts as (select source, (failed + m * k) / (docs + k) > 0.9 and docs >= 20 as bad from hosts, weighed)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not coalesce(bad, false) as kept
+from judged left join verdicts using (source)
+"""
