@@ -143,9 +143,14 @@ def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
         .where("context is not null")
         .groupBy("context", "kind", "value").agg(F.count(F.lit(1)).alias("n")))
     mentions = store(mentions, "mentions")
+    # entities of another kind can't count for a pattern, so a context that they hold a fifth of can't be confident
+    held = mentions.groupBy("context").agg(
+        F.sum("n").alias("mentions"), F.sum(F.when(F.col("kind") < 0, F.col("n")).otherwise(0)).alias("open"))
     induced = store(
-        mentions.where("kind >= 0").groupBy("context", "kind").agg(F.count(F.lit(1)).alias("support"))
-        .where(F.col("support") >= SUPPORT), "induced")
+        mentions.where("kind >= 0").groupBy("context", "kind").agg(
+            F.count(F.lit(1)).alias("support"), F.sum("n").alias("own"))
+        .where(F.col("support") >= SUPPORT).join(held, "context")
+        .where(F.col("own") + F.col("open") >= CONFIDENCE * F.col("mentions")), "induced")
     if induced.isEmpty():
         return induced.select("context", "kind", F.lit(0.0).alias("confidence"))
 
@@ -155,14 +160,14 @@ def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
         w, lambda x, i: F.when(i > 0, F.concat(F.lit("b:"), F.get(w, i - 1), F.lit(" "), x))))).alias("context"))
     counted = pairs.join(broadcast_if_small(wanted), "context", "left_semi").groupBy("context").agg(
         F.count(F.lit(1)).alias("uses"))
-    held = mentions.groupBy("context").agg(F.sum("n").alias("mentions"))
     totals = store(
-        induced.select("context").distinct().join(held, "context").join(counted, "context", "left")
+        induced.select("context", "mentions").distinct().join(counted, "context", "left")
         .select("context", F.greatest("mentions", F.coalesce("uses", F.lit(0))).alias("total")), "totals")
 
     # the graph: patterns of each kind, and the values that they precede
     edges = store(
         mentions.withColumnRenamed("kind", "own").join(induced.select("context", "kind"), "context")
+        .where((F.col("own") == F.col("kind")) | (F.col("own") < 0))
         .select("context", "kind", "value", "n", (F.col("own") == F.col("kind")).alias("seed")), "graph")
     scores = None
     for _ in range(ROUNDS):
@@ -181,27 +186,25 @@ def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     return patterns.where(F.col("confidence") >= CONFIDENCE)
 
 
-def _search(docs: DataFrame) -> DataFrame:
-    """Adds ``seeds`` and ``spans`` to rows with a doc_id and a text column."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    found = docs.withColumn("seeds", seeds(text)).withColumn("tokens", tokens(text, F.col("seeds")))
-    found = store(
-        found.withColumn("seeds", _with_context(text, F.col("seeds")))
-        .withColumn("tokens", _with_context(text, F.col("tokens")))
-        .withColumn("_row", F.monotonically_increasing_id()), "found")
-    patterns = learn_patterns(found, docs.select(F.col("_text").alias("text")))
+def _search(docs: DataFrame, text: Column, keep: str) -> DataFrame:
+    """(keep, seeds, spans) of every row by the whole ``text``."""
+    whole = F.coalesce(text, F.lit(""))
+    found = docs.withColumn("seeds", seeds(whole)).withColumn("tokens", tokens(whole, F.col("seeds")))
+    found = store(found.select(
+        keep, F.monotonically_increasing_id().alias("line"), _with_context(whole, F.col("seeds")).alias("seeds"),
+        _with_context(whole, F.col("tokens")).alias("tokens")), "found")
+    patterns = learn_patterns(found, docs.select(text.alias("text")))
     best = patterns.groupBy("context").agg(
         F.min(F.struct((-F.col("confidence")).alias("c"), "kind")).alias("b")).select("context", "b.kind")
     new = (
-        found.where(F.size("tokens") > 0).select("_row", F.explode("tokens").alias("t"))
-        .select("_row", "t.start", "t.end", "t.context").join(broadcast_if_small(best), "context")
-        .groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_new")))
+        found.where(F.size("tokens") > 0).select("line", F.explode("tokens").alias("t"))
+        .select("line", "t.start", "t.end", "t.context").join(broadcast_if_small(best), "context")
+        .groupBy("line").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new")))
     plain = F.transform("seeds", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
     return (
-        found.join(broadcast_if_small(new), "_row", "left").withColumn("seeds", plain)
-        .withColumn("spans", F.array_sort(F.concat(
-            "seeds", F.coalesce("_new", F.array().cast("array<struct<start:int,kind:int,end:int>>")))))
-        .drop("_row", "_new", "tokens"))
+        found.join(broadcast_if_small(new), "line", "left").withColumn("seeds", plain)
+        .select(keep, "seeds", F.array_sort(F.concat(
+            "seeds", F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,8 +216,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     no rows: no rows. A token that patterns of several kinds precede takes the
     kind of the surest, then the first in order. Other columns are ignored.
     """
-    found = _search(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
-    return found.select("doc_id", "seeds", "spans")
+    return _search(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), "doc_id")
 
 
 def _redacted(text: Column, spans: Column) -> Column:
@@ -246,20 +248,21 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     """``docs`` with every found span masked as [EMAIL], [IP], [CARD] or [PHONE].
 
     ``length_col``, where there is one, follows a changed text. Texts without
-    finds, null ones too, stay as they are.
+    finds, null ones too, stay as they are; so do all other columns.
     """
-    found = _search(docs.withColumn("_text", F.col(text_col)))
-    changed = found.withColumn("_new_text", _redacted(F.col("_text"), F.col("spans")))
-    columns = []
-    for c in docs.columns:
+    text = F.col(f"row.`{text_col}`")
+    found = _search(docs.select(F.struct(*docs.columns).alias("row")), text, "row")
+    changed = found.withColumn("masked", _redacted(text, F.col("spans")))
+
+    def column(c):
+        old = F.col(f"row.`{c}`")
         if c == text_col:
-            columns.append(F.col("_new_text").alias(c))
-        elif c == length_col:
-            columns.append(F.when(F.size("spans") > 0, F.length("_new_text").cast(docs.schema[c].dataType))
-                           .otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(c))
-    return changed.select(*columns)
+            return F.col("masked").alias(c)
+        if c == length_col:
+            return F.when(F.size("spans") > 0, F.length("masked").cast(docs.schema[c].dataType)).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return changed.select(*map(column, docs.columns))
 
 
 def written(spans: Column) -> Column:
