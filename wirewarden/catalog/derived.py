@@ -21,6 +21,8 @@ HAND_MODELS = {
     "sid": ([0.2, 0.3, 0.5], [[0.5, 0.25, 0.25], [0.1, 0.6, 0.3], [0.0, 0.5, 0.5]], [65.0, 78.0, 47.0],
             [4.0, 9.0, 100.0], -70.0),
 }
+# The two-state model that the EM steps start from.
+EM_MODEL = ([0.6, 0.4], [[0.7, 0.3], [0.2, 0.8]], [65.0, 78.0], [4.0, 9.0])
 # Every event whose id is a multiple of 97 carries an injected value in ``v``.
 ATTACK_STEP = 97
 

@@ -9,7 +9,7 @@ import math
 from ..functions.symbols import cjk_class, digit_class
 from ..functions.text import WHITESPACE
 from ..schemas import ALARM_TYPE, HTTP_FIELDS
-from .derived import HAND_MODELS, duckdb_ctes, duckdb_quote
+from .derived import EM_MODEL, HAND_MODELS, duckdb_ctes, duckdb_quote
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 _FILLED = [f for f in HTTP_FIELDS if f != "flow_time"]
@@ -173,6 +173,58 @@ VIEWS = {
       select o.record_id, o.p_id, o.p_name, o.states, o.st, s.score, s.profile
       from observed o join scores s using (states, p_name)"""),
 }
+_START, _TRANS, _MEANS, _VARS = EM_MODEL
+_EM_SUMS = ["loglik", "start0", "start1", "t00", "t01", "t10", "t11", "mass0", "mass1", "first0", "first1",
+            "second0", "second1"]
+
+
+def _em_density(j, x):
+    return f"(-0.5 * ln(2 * pi() * {_VARS[j]}) - ({x} - {_MEANS[j]}) * ({x} - {_MEANS[j]}) / (2 * {_VARS[j]}))"
+
+
+def _digits(value):
+    return f"(case when abs({value}) < 1e5 then round({value}, 6) else round(({value}) / 1e10, 8) end + 0.0)"
+
+
+def _two(u, v):
+    return f"(greatest({u}, {v}) + ln(1 + exp(-abs(({u}) - ({v})))))"
+
+
+def _into(j):
+    return _two(f"a0 + ln({_TRANS[0][j]})", f"a1 + ln({_TRANS[1][j]})") + " + " + _em_density(j, "st[f.t + 1]")
+
+
+def _from(i):
+    return _two(*[f"ln({_TRANS[i][j]}) + {_em_density(j, 'st[f.t]')} + b{j}" for j in (0, 1)])
+
+
+VIEWS.update({
+    "em_seq": (["sequences"], "select states, any_value(st) as st from sequences group by states"),
+    "em_forward": (["em_seq"], f"""
+      select states, 1 as t, ln({_START[0]}) + {_em_density(0, 'st[1]')} as a0, ln({_START[1]}) + {_em_density(1, 'st[1]')} as a1 from em_seq
+      union all
+      select f.states, f.t + 1, {_into(0)}, {_into(1)} from em_forward f join em_seq s on s.states = f.states where f.t < len(s.st)"""),
+    "em_backward": (["em_seq"], f"""
+      select states, len(st) as t, 0.0::double as b0, 0.0::double as b1 from em_seq
+      union all
+      select f.states, f.t - 1, {_from(0)}, {_from(1)} from em_backward f join em_seq s on s.states = f.states where f.t > 1"""),
+    "em_post": (["em_seq", "em_forward", "em_backward"], f"""
+      select f.states, f.t, s.st, a0, a1, b0, b1, l.ll from em_forward f join em_backward b on b.states = f.states and b.t = f.t
+      join em_seq s on s.states = f.states
+      join (select f.states, {_two('a0', 'a1')} as ll from em_forward f join em_seq s on s.states = f.states where t = len(st)) l on l.states = f.states"""),
+    "em_each": (["em_post"], f"""
+      select states, any_value(ll) as loglik,
+        {', '.join(f"sum(case when t = 1 then exp(a{j} + b{j} - ll) else 0 end) as start{j}" for j in (0, 1))},
+        {', '.join(f"coalesce(sum(exp(a{i} + ln({_TRANS[i][j]}) + {_em_density(j, 'st[t + 1]')} + next{j} - ll)), 0) as t{i}{j}" for i in (0, 1) for j in (0, 1))},
+        {', '.join(f"sum(exp(a{j} + b{j} - ll)) as mass{j}" for j in (0, 1))},
+        {', '.join(f"sum(exp(a{j} + b{j} - ll) * (st[t] - {_MEANS[j]})) as first{j}" for j in (0, 1))},
+        {', '.join(f"sum(exp(a{j} + b{j} - ll) * (st[t] - {_MEANS[j]}) * (st[t] - {_MEANS[j]})) as second{j}" for j in (0, 1))}
+      from (select *, lead(b0) over w as next0, lead(b1) over w as next1 from em_post window w as (partition by states order by t)) p
+      group by states"""),
+    "em_total": (["em_each", "sequences"], f"""
+      select p_id, cast(sum(weight) as bigint) as n_seq, {', '.join(f"sum(weight * {c}) as {c}" for c in _EM_SUMS)}
+      from sequences join em_each using (states) group by p_id"""),
+})
 _BASE = {
     "http_requests": [], "http_records": ["http_requests"],
     "flow_raw": ["http_requests"], "device_messages": [],
@@ -365,4 +417,14 @@ ORACLES = {
       nullif(data, '') as data from (select distinct on (""" + _FIELDS + """) * from http_records)""", "http_records"),
     "stream_counts": text("""select strftime(make_timestamp(cast(split_part(split_part(message, chr(1), 1), chr(2), 2) as bigint) * 1000), '%Y-%m-%d')
       || '|' || split_part(split_part(message, chr(1), 2), chr(2), 2) as day_device, cast(count(*) as bigint) as n from device_messages group by 1""", "device_messages"),
+    "em_sums": text("select p_id, n_seq, " + ", ".join(
+        f"case when abs(loglik / n_seq) > 1e5 and abs({c} / n_seq) < 1e5 then round({c} / n_seq, 3) + 0.0 else {_digits(f'{c} / n_seq')} end as {c}"
+        for c in _EM_SUMS) + " from em_total", "em_total"),
+    # the variance prior adds 0.01 to the squares
+    "em_step": text("select p_id, " + ", ".join([
+        *[f"{_digits(f'start{j} / (start0 + start1)')} as startprob{j}" for j in (0, 1)],
+        *[f"case when t{i}0 + t{i}1 > 0.01 then {_digits(f't{i}{j} / (t{i}0 + t{i}1)')} end as transmat{2 * i + j}" for i in (0, 1) for j in (0, 1)],
+        *[f"case when mass{j} > 0.01 then {_digits(f'{_MEANS[j]} + first{j} / mass{j}')} end as means{j}" for j in (0, 1)],
+        *[f"case when mass{j} > 0.01 then {_digits(f'(0.01 + greatest(second{j} - first{j} / mass{j} * first{j}, 0)) / mass{j}')} end as vars{j}" for j in (0, 1)],
+    ]) + " from em_total", "em_total"),
 }

@@ -1,5 +1,6 @@
 """The registered queries: name -> (spark, sf_dir) -> DataFrame."""
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import (
@@ -15,7 +16,7 @@ from ..functions import (
     url_unquote,
 )
 from ..operators import features as feat
-from ..operators import flows
+from ..operators import flows, hmm
 from ..operators.grouping import group_sequences, parameter_stats, sequence_stats, train_counts, with_min_support
 from ..operators.joins import join_models, latest_models, modelled, unmodelled
 from ..operators.requests import (
@@ -33,7 +34,7 @@ from ..plans.options import TrainOptions
 from ..plans.train import observed_sequences, train_groups, train_sequences
 from ..schemas import HTTP_FIELDS, MODELS
 from ..session import cut, shared_path
-from ..operators.training import repaired
+from ..operators.training import SameModel, expectation_sums, repaired, stepped
 from ..sources.queue import queue_messages, read_text_stream
 from ..sources.sinks import DocumentSink, read_documents
 from ..sources import tables
@@ -656,6 +657,52 @@ def train_and_detect(spark, sf):
     )
 
 
+_EM_SUMS = ["loglik", "start0", "start1", "t00", "t01", "t10", "t11", "mass0", "mass1", "first0", "first1",
+            "second0", "second1"]
+
+
+def _em_sums(spark, sf):
+    """Sums of one E step of the two-state model over all sequences of every parameter, by the training's code."""
+    rows = cut(_sequences(spark, sf)).select("p_id", "symbols", "weight")
+    model = tuple(np.array(part) for part in derived.EM_MODEL)
+    sums = expectation_sums(rows, SameModel(model))
+    value = F.col("whole") + F.col("part") / hmm.FRACTION
+    wide = sums.groupBy("p_id").agg(*[
+        F.max(F.when(F.col("pos") == i, value)).alias(name) for i, name in enumerate(_EM_SUMS)])
+    return wide.join(rows.groupBy("p_id").agg(F.sum("weight").alias("n_seq")), "p_id")
+
+
+def _digits(value):
+    """Six decimals of a number, fewer of a large one; no negative zero."""
+    return F.when(F.abs(value) < 1e5, F.round(value, 6)).otherwise(F.round(value / 1e10, 8)) + F.lit(0.0)
+
+
+@query
+def em_sums(spark, sf):
+    # exp of a difference of numbers near 1e8 has no more than three digits
+    coarse = F.abs(F.col("loglik") / F.col("n_seq")) > 1e5
+    return _em_sums(spark, sf).select("p_id", "n_seq", *[
+        F.when(coarse & (F.abs(F.col(c) / F.col("n_seq")) < 1e5), F.round(F.col(c) / F.col("n_seq"), 3) + F.lit(0.0))
+        .otherwise(_digits(F.col(c) / F.col("n_seq"))).alias(c) for c in _EM_SUMS])
+
+
+@query
+def em_step(spark, sf):
+    """The model after one round, by the training's M step; null for a state with next to no weight."""
+    start, trans, means, variances = derived.EM_MODEL
+
+    def array(values):
+        return F.array(*[F.lit(v) for v in values])
+
+    model = stepped(array(start), array(trans[0] + trans[1]), array(means), array(variances), F.array(*_EM_SUMS))
+    stated = {f"startprob{j}": (F.lit(1.0), F.col("m.startprob")[j]) for j in (0, 1)}
+    for i in (0, 1):
+        stated |= {f"transmat{2 * i + j}": (F.col(f"t{i}0") + F.col(f"t{i}1"), F.col("m.transmat")[2 * i + j]) for j in (0, 1)}
+        stated |= {f"{part}{i}": (F.col(f"mass{i}"), F.col(f"m.{part}")[i]) for part in ("means", "vars")}
+    return _em_sums(spark, sf).withColumn("m", model).select(
+        "p_id", *[F.when(weight > 0.01, _digits(value)).alias(name) for name, (weight, value) in stated.items()])
+
+
 # streams over files, run until all input is read ------------------------------------
 
 _ALL = {"availableNow": True}
