@@ -2,15 +2,17 @@
 every word, character n-grams score it, and Viterbi with a switching penalty
 labels the words of a whole text.
 
-The model is counted by Spark on a bounded sample (``sample`` documents of each
-language, whole texts); prediction reads the text alone.
+The model is counted by Spark on a bounded sample (about ``sample`` documents of
+each language, whole texts); prediction reads the text alone.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-#: documents of each language that the n-grams are counted on; hash buckets of n-grams
+from .common import broadcast_if_small, in_small_batches
+
+#: documents of each language, about, that the n-grams are counted on; hash buckets of n-grams
 SAMPLE, BUCKETS = 2000, 1 << 15
 #: cost of a change of language, and the most one word can say for one, in nats
 SWITCH, WORD_CAP = 8.0, 6.0
@@ -172,14 +174,14 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts n-grams and scripts of a sample of labelled documents.
 
-    ``docs`` has doc_id, text and lang; rows without a lang don't count. The
-    sample is the ``sample`` smallest hashes of doc_id for each language, so
-    what reaches the driver is languages x buckets numbers.
+    ``docs`` has doc_id, text and lang; rows without a lang don't count. A
+    document is in the sample if the hash of its id falls below its language's
+    share, which makes about ``sample`` documents of each language and all of a
+    smaller one. What reaches the driver is languages x buckets numbers.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        docs.where("lang is not null and text is not null").select("doc_id", "lang")
-        .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).select("doc_id", "lang"))
+    known = docs.where("lang is not null and text is not null")
+    shares = known.groupBy("lang").count().select("lang", (F.lit(sample) / F.col("count")).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def count(frames):
         totals = {}
@@ -198,8 +200,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pd.DataFrame({"lang": lang, "bucket": some, "n": total[some]})
 
     counted = (
-        docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-        .select("lang", "text").mapInPandas(count, "lang string, bucket int, n long")
+        in_small_batches(known.select("doc_id", "lang", "text")).join(broadcast_if_small(shares), "lang")
+        .where(place < F.col("share")).select("lang", "text").mapInPandas(count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     languages = sorted(counted["lang"].unique())
     table = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES)))
@@ -222,5 +224,5 @@ def label_documents(docs: DataFrame, model: Model) -> DataFrame:
             rows = [(doc, *sent.value.label(text)) for doc, text in zip(frame["doc_id"], frame["text"])]
             yield pd.DataFrame(rows, columns=["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInPandas(
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(
         label, "doc_id long, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>")
