@@ -543,6 +543,31 @@ def test_host_verdicts(spark):
     assert single["x"].host_kept
 
 
+# rows without an id
+
+def test_null_ids_are_kept(spark):
+    """Every operator returns such rows; big ids beside them stay exact."""
+    big = 2 ** 62 + 1
+    df = spark.createDataFrame(
+        [(None, sentence(60), "en", None), (None, None, None, None), (big, sentence(70), None, "h"), (3, "", "fr", "h")],
+        "doc_id long, text string, lang string, source string")
+    ranks, model = tokenizer("byte_bpe_50k.tiktoken"), tokenizer("piece_bpe_32k.model")
+    results = [
+        sharding.shard(df, 2), langid.label_documents(df, langid.train(df)), pii.find(df), host_rules.judge(df),
+        toxicity.score_documents(df, toxicity.Model(quality.pd.DataFrame(columns=["bucket", "weight", "vector"]))),
+        quality.score_documents(df, quality.Model(quality.pd.DataFrame())),
+        jaccard.components_by_shingles(df), pieces.encode(df, model), packing.pack_documents(df, ranks),
+    ]
+    for out in results:
+        ids = [r.doc_id for r in out.collect()]
+        assert ids.count(None) == 2 and big in ids and 3 in ids, out.columns
+    assert pii.redact(df).count() == 4 == quality.keep_good(df, quality.Model(quality.pd.DataFrame())).count()
+    vectors = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (7, [1.0, 2.1]), (big, None)],
+                                    "vec_id long, embedding array<double>")
+    got = neardup.near_duplicates(vectors).collect()
+    assert sorted(str(r.vec_id) for r in got) == sorted(["None", "None", "7", str(big)])
+
+
 # queries and pipeline
 
 COLUMNS = {

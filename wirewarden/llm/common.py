@@ -1,7 +1,9 @@
 """What several operators share: reading, stored intermediates, numbering, connected components."""
 
+import ctypes
 import uuid
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import checkpoint_dir
@@ -41,6 +43,37 @@ def in_small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> Da
     return df
 
 
+def give_back():
+    """Hand back memory that Arrow's pool and the C library keep for later: a
+    worker lives on after its task, next to those of other stages."""
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def frugal(run):
+    """``run`` over the batches of a task, giving memory back now and then and at the end."""
+
+    def over(batches):
+        for n, out in enumerate(run(batches)):
+            yield out
+            if n % 16 == 15:
+                give_back()
+        give_back()
+
+    return over
+
+
+def map_documents(docs: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over pandas batches of ``docs`` with ids as text, since pandas has
+    no null among whole numbers; ``schema`` has the columns after doc_id."""
+    kind = docs.schema["doc_id"].dataType
+    named = in_small_batches(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+    return named.mapInPandas(frugal(run), f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def parts(frame, column: str = "text", most: int = 4 << 20):
     """A pandas batch in stretches of about ``most`` characters of ``column``, so
     that what is made of a batch stays small however long its texts are."""

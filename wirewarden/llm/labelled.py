@@ -2,12 +2,13 @@
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import in_small_batches
+from .common import frugal, give_back, in_small_batches
 
 #: labelled documents that a classifier is fitted on
 SAMPLE = 8000
@@ -70,9 +71,12 @@ def fit_in_one_task(sample: DataFrame, features, fit, schema: str) -> pd.DataFra
         keys = [(int(label), r.tobytes()) for label, r in zip(frame["label"], rows)]
         order = sorted(range(len(rows)), key=keys.__getitem__)
         order = np.random.default_rng(7).permutation(np.array(order, "int64"))
-        return fit(frame["label"].to_numpy("int64")[order], [rows[i] for i in order])
+        fitted = fit(frame["label"].to_numpy("int64")[order], [rows[i] for i in order])
+        del rows, keys
+        give_back()
+        return fitted
 
-    extracted = sample.mapInPandas(extract, "label int, row array<int>")
+    extracted = sample.mapInPandas(frugal(extract), "label int, row array<int>")
     return extracted.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda f: run(f), schema).toPandas()
 
 
@@ -90,8 +94,9 @@ def score_column(score_text, text: str = "text") -> Column:
     """Scores of a text column by a function of the whole text; a null text is an empty one."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([score_text(t or "") for t in texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from frugal(lambda all_texts: (
+            pd.Series([score_text(t or "") for t in texts], dtype="float64") for texts in all_texts))(batches)
 
     return score(text)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_if_small, in_small_batches
+from .common import broadcast_if_small, frugal, in_small_batches, map_documents
 
 #: documents of each language, about, that the n-grams are counted on; hash buckets of n-grams
 SAMPLE, BUCKETS = 2000, 1 << 15
@@ -134,7 +134,7 @@ class Model:
         self.languages = languages
         # the three orders of n-grams overlap, so each counts for a third
         p = np.log((grams + 0.5) / (grams.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)) / 3
-        self.weights = np.ascontiguousarray((p - p.mean(axis=0)).T.astype("float32"))
+        self.weights = np.ascontiguousarray((p - p.mean(axis=0) if len(p) else p).T.astype("float32"))
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.uses = (share >= 0.01).T
 
@@ -201,7 +201,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     counted = (
         in_small_batches(known.select("doc_id", "lang", "text")).join(broadcast_if_small(shares), "lang")
-        .where(place < F.col("share")).select("lang", "text").mapInPandas(count, "lang string, bucket int, n long")
+        .where(place < F.col("share")).select("lang", "text").mapInPandas(frugal(count), "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     languages = sorted(counted["lang"].unique())
     table = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES)))
@@ -224,5 +224,5 @@ def label_documents(docs: DataFrame, model: Model) -> DataFrame:
             rows = [(doc, *sent.value.label(text)) for doc, text in zip(frame["doc_id"], frame["text"])]
             yield pd.DataFrame(rows, columns=["doc_id", "lang_pred", "score", "spans"])
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(
-        label, "doc_id long, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>")
+    return map_documents(
+        docs.select("doc_id", "text"), label, "lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>")

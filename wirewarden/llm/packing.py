@@ -17,9 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_small_batches, numbered, slices_for, store
+from .common import map_documents, numbered, slices_for, store
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 class RemainingTree:
@@ -128,7 +128,7 @@ def tokenise(docs: DataFrame, ranks_path: str, capacity: int, end_id: int) -> Da
                     start += length
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(pieces, PIECES)
+    return map_documents(docs.select("doc_id", "text"), pieces, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

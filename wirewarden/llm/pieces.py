@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import in_small_batches
+from .common import map_documents
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -221,7 +221,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": vocabulary(path).encode_batch(frame[text_col])})
 
-    return in_small_batches(docs.select("doc_id", text_col)).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_documents(docs.select("doc_id", text_col), run, "ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -232,7 +232,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "text": [
                 vocabulary(path).decode(ids if ids is not None else []) for ids in frame["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return map_documents(encoded.select("doc_id", "ids"), run, "text string")
 
 
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
@@ -248,5 +248,4 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((doc, len(ids), crc, vocab.decode(ids) == (text or "").replace(MARK, " ")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids_crc32", "exact"])
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(
-        run, "doc_id long, n_ids long, ids_crc32 long, exact boolean")
+    return map_documents(docs.select("doc_id", "text"), run, "n_ids long, ids_crc32 long, exact boolean")

@@ -43,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold(folds: int) -> F.Column:
     """The fold of a document: crc32 of its id as text, modulo ``folds``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % folds
 
 
 @query
@@ -126,3 +126,18 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and not coalesce(bad, false) as kept
 from judged left join verdicts using (source)
 """
+
+ORACLES["op9_embedding_dedup"] = """
+with recursive e as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+    and len([x for x in embedding if x <> 0]) > 0),
+link as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.9),
+reach as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a),
+links as (select a, count(*) as n from link group by a),
+found as (select a, min(b) as c from reach group by a)
+select t.vec_id, cast(coalesce(links.n, 0) as bigint) as n_links, least(t.vec_id, coalesce(found.c, t.vec_id)) as component_id,
+  t.vec_id = least(t.vec_id, coalesce(found.c, t.vec_id)) as kept
+from embeddings t left join links on links.a = t.vec_id left join found on found.a = t.vec_id
+"""
