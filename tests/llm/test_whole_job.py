@@ -1,10 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
-from wirewarden.llm import jaccard
+from wirewarden.llm import jaccard, packing
+from wirewarden.llm.queries import tokenizer
 
 from test_operators import by_id, plain_components, plain_sets
 
@@ -32,3 +35,32 @@ def test_jaccard_links_contained_sets_of_unequal_size(spark, monkeypatch, freque
     got = by_id(jaccard.components_by_shingles(spark.createDataFrame(rows, "doc_id long, text string")))
     assert {i: r.component_id for i, r in got.items()} == want
     assert len(set(want.values())) < 80
+
+
+# packing
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def contract():
+    """The contract's encoder with its default settings."""
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+
+
+def test_added_tokens_in_a_text_are_one_id(spark):
+    tok, end = contract(), "<|endoftext|>"
+    around = [f"{a}{end}{b}" for a in ("", "a", "a ", "a  ", "a\n", "\u3000 ", end, "<|", "don'") for b in ("", "b", " b", "  b", "s", "|>", "\n\n")]
+    texts = ["a <|endoftext|> b", *around, end * 300, "<|endoftext|", "<|ENDOFTEXT|>", "<|endoftext |>", end[:5] + end + end[5:]]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [packing.encode(t, tokenizer(RANKS)) for t in texts] == want
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer(RANKS))
+    crcs = {i: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for i, ids in enumerate(want)}
+    assert {r.doc_id: r.ids_crc32 for r in got.collect()} == crcs
+
+
+def test_every_character_encodes_as_the_contract_says():
+    texts = [f"a{chr(c)}a {chr(c)}{chr(c)}1  {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    own = packing.byte_bpe(tokenizer(RANKS)).encode_ordinary_batch(texts)
+    assert own == [e.ids for e in contract().encode_batch_fast(texts, add_special_tokens=False)]

@@ -10,6 +10,7 @@ pieces of its length.
 """
 
 import base64
+import json
 import zlib
 from collections import deque
 
@@ -94,18 +95,31 @@ _ENCODERS = {}
 
 
 def byte_bpe(ranks_path: str):
-    """The byte-level BPE of a rank file, one for each Python worker. Its ids
-    equal those of the tokenizer file of the same vocabulary (tested)."""
+    """The byte-level BPE of a rank file, one for each Python worker, with the
+    added tokens of the tokenizer file beside it. Its ids equal those of that
+    file (tested)."""
     if ranks_path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        with open(tokenizer_file(ranks_path), "rb") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         _ENCODERS[ranks_path] = tiktoken.Encoding(
-            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _ENCODERS[ranks_path]
 
 
+def tokenizer_file(ranks_path: str) -> str:
+    return ranks_path.removesuffix(".tiktoken") + ".json"
+
+
+def encode(text: str, ranks_path: str) -> list[int]:
+    """The ids that the tokenizer file gives ``text`` without special tokens around
+    it; an added token that the text spells out is one id."""
+    return byte_bpe(ranks_path).encode(text, allowed_special="all")
+
+
 def cut_lengths(total: int, capacity: int):
     """Lengths of a document's pieces: all full but the first, which takes the rest."""
     first = total % capacity
@@ -117,11 +131,10 @@ def tokenise(docs: DataFrame, ranks_path: str, capacity: int, end_id: int) -> Da
     text is empty; every document ends in ``end_id``, so none is without a piece."""
 
     def pieces(frames):
-        encoder = byte_bpe(ranks_path)
         for frame in frames:
             out = []
             for doc, text in zip(frame["doc_id"], frame["text"]):
-                ids = np.array([*encoder.encode_ordinary(text or ""), end_id], "<u4")
+                ids = np.array([*encode(text or "", ranks_path), end_id], "<u4")
                 start = 0
                 for piece, length in enumerate(cut_lengths(len(ids), capacity)):
                     out.append((doc, piece, start, length, zlib.crc32(ids[start:start + length].tobytes())))
