@@ -64,3 +64,15 @@ def test_every_character_encodes_as_the_contract_says():
     texts = [f"a{chr(c)}a {chr(c)}{chr(c)}1  {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     own = packing.byte_bpe(tokenizer(RANKS)).encode_ordinary_batch(texts)
     assert own == [e.ids for e in contract().encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_long_runs_of_white_space():
+    run, end = 1_100_000, "<|endoftext|>"
+    texts = ["a" + " " * run + "b", "\n" * run, f"a{end}" + "\u3000" * run + end,
+             *("a" + c * packing.RUN + tail for c in " \t\x85" for tail in ("", "b", "\n1"))]
+    short = ["a" + " " * (packing.RUN - 1) + "b", "a" + " \n" * 40_000]
+    assert all(map(packing.LONG_RUN.search, texts)) and not any(map(packing.LONG_RUN.search, short))
+    tok = contract()
+    for text in texts + short:
+        assert packing.encode(text, tokenizer(RANKS)) == tok.encode(text, add_special_tokens=False).ids
+    assert len(packing.encode(texts[0], tokenizer(RANKS))) == run + 1

@@ -11,6 +11,7 @@ pieces of its length.
 
 import base64
 import json
+import re
 import zlib
 from collections import deque
 
@@ -91,6 +92,11 @@ def plan(histogram: dict[int, int], capacity: int):
     return rules
 
 
+#: white space (Unicode's property) in one run so long that tiktoken's pattern may run out of stack, at about a million
+RUN = 100_000
+_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+LONG_RUN = re.compile(rf"(?<![{_SPACE}])[{_SPACE}]{{{RUN},}}")
+
 _ENCODERS = {}
 
 
@@ -116,7 +122,14 @@ def tokenizer_file(ranks_path: str) -> str:
 
 def encode(text: str, ranks_path: str) -> list[int]:
     """The ids that the tokenizer file gives ``text`` without special tokens around
-    it; an added token that the text spells out is one id."""
+    it; an added token that the text spells out is one id. A text with a very
+    long run of white space goes to that file's own, slower encoder."""
+    if len(text) >= RUN and LONG_RUN.search(text):
+        path = tokenizer_file(ranks_path)
+        if path not in _ENCODERS:
+            import tokenizers
+            _ENCODERS[path] = tokenizers.Tokenizer.from_file(path)
+        return _ENCODERS[path].encode(text, add_special_tokens=False).ids
     return byte_bpe(ranks_path).encode(text, allowed_special="all")
 
 
