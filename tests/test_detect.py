@@ -106,6 +106,18 @@ def test_bodies_stay_where_they_are_until_alarms_are_known(spark):
     assert "_salt" in text
 
 
+def test_repeated_records_give_the_same_alarms_on_both_ways(spark):
+    """Records of an archive are keyed by their content, so equal ones share an id."""
+    records = requests(spark, 7).drop("record_id")
+    records = records.unionByName(requests(spark, 2).drop("record_id").withColumn("uri", F.lit("/b?v=7")))
+    known = models(spark, extract_features(requests(spark, 1)))
+    small, columns = DetectOptions(broadcast_bytes=0), ["record_id", "p_id", "score", *HTTP_FIELDS]
+    for run in (plan.detect, plan.score_requests):
+        wanted, found = (sorted(map(tuple, run(records, known, o).select(columns).collect()))
+                         for o in (DetectOptions(), small))
+        assert found == wanted and max(wanted.count(row) for row in set(wanted)) == 7
+
+
 def test_semi_and_anti_joins_divide_the_observations(spark):
     features = extract_features(requests(spark, 200))
     known = models(spark, features.where("p_type = 'uri'"))
