@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import host_rules, jaccard, langid, neardup, packing, pieces, pii, quality, sharding, toxicity
+from . import (
+    alignment, decontamination, host_rules, jaccard, langid, neardup, negatives, packing, pieces, pii, quality, sharding, toxicity,
+)
 from .common import table
 
 QUERIES = {}
@@ -141,3 +143,65 @@ select t.vec_id, cast(coalesce(links.n, 0) as bigint) as n_links, least(t.vec_id
   t.vec_id = least(t.vec_id, coalesce(found.c, t.vec_id)) as kept
 from embeddings t left join links on links.a = t.vec_id left join found on found.a = t.vec_id
 """
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_LETTERS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLES["op11_decontamination"] = rf"""
+with d as (select doc_id, {_LETTERS} as w from documents),
+b as (select item_id, {_LETTERS} as w from benchmark),
+items as (select item_id, w, least(10, len(w)) as need from b where len(w) > 0),
+windows as (select item_id, need, unnest(range(1, len(w) - need + 2)) as i, w from items),
+own as (select item_id, need, i, array_to_string(w[i:i + need - 1], ' ') as g from windows),
+needs as (select distinct need from items),
+places as (select doc_id, need, unnest(range(1, len(w) - need + 2)) as p, w from d, needs where len(w) >= need),
+grams as (select doc_id, need, p, array_to_string(w[p:p + need - 1], ' ') as g from places),
+met as (select doc_id, item_id, grams.need, p, i from grams join own on grams.need = own.need and grams.g = own.g),
+hit as (select doc_id, count(distinct q) as n from (select doc_id, unnest(range(p, p + need)) as q from met) group by 1),
+named as (select doc_id, count(distinct item_id) as n, sha256(string_agg(distinct cast(item_id as varchar), ','
+  order by cast(item_id as varchar))) as h from met group by 1),
+runs as (select doc_id, need, p - row_number() over (partition by doc_id, item_id, p - i order by p) as run,
+  item_id, p - i as line from met),
+longest as (select doc_id, max(n) as n from (
+  select doc_id, count(*) + need - 1 as n from runs group by doc_id, item_id, need, line, run) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as bigint) as n_hit,
+  cast(coalesce(named.n, 0) as bigint) as n_items, coalesce(h, sha256('')) as items_sha256,
+  coalesce(hit.n, 0) > 0 as contaminated, cast(coalesce(longest.n, 0) as bigint) as longest
+from d left join hit using (doc_id) left join named using (doc_id) left join longest using (doc_id)
+"""
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_hard_negatives"] = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select a.vec_id as a, a.label = b.label as same, b.vec_id as b,
+    cast(coalesce(list_sum([a.v[i] * b.v[i] for i in range(1, len(a.v) + 1)]), 0) as bigint) as score
+  from e a join e b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+p as (select a, b as p, score as ps from s where same
+  qualify row_number() over (partition by a order by score desc, b) <= 5),
+n as (select p.a, p, ps, s.b as n, score as ns from p join s on s.a = p.a and not same
+  where 50 * ps <= 100 * score and 100 * score <= 95 * ps)
+select a as anchor_id, p as positive_id, cast(row_number() over (partition by a, p order by ns desc, n) as integer) as rank,
+  n as negative_id, ps as positive_score, ns as negative_score from n
+qualify row_number() over (partition by a, p order by ns desc, n) <= 3
+"""
