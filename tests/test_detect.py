@@ -118,6 +118,40 @@ def test_repeated_records_give_the_same_alarms_on_both_ways(spark):
         assert found == wanted and max(wanted.count(row) for row in set(wanted)) == 7
 
 
+def test_records_that_share_an_id_keep_their_own_alarms(spark):
+    """Two different records with one id: the same rows for any bound of a broadcast."""
+    records = requests(spark, 5).withColumn("uri", F.when(F.col("record_id") < "2", "/a?v=12").otherwise("/a?v=3456"))
+    records = records.withColumn("record_id", F.lit("x"))
+    known = models(spark, extract_features(requests(spark, 1)))
+    columns = ["record_id", "p_id", "score", *HTTP_FIELDS]
+    for run in (plan.detect, plan.score_requests):
+        wanted, found = (sorted(map(tuple, run(records, known, DetectOptions(broadcast_bytes=b)).select(columns).collect()))
+                         for b in (64 << 20, 0))
+        of = {uri: {row[1:3] for row in wanted if row[columns.index("uri")] == uri} for uri in ("/a?v=12", "/a?v=3456")}
+        assert found == wanted and len(wanted) == 2 * len(of["/a?v=12"]) + 3 * len(of["/a?v=3456"])
+        assert of["/a?v=12"] != of["/a?v=3456"]
+
+
+@pytest.mark.parametrize("k", [2, 3, 8, 9])
+def test_runs_score_like_their_symbols(spark, k):
+    """Runs of every length up to beyond the largest power, in log space symbol by symbol."""
+    rng = np.random.default_rng(k)
+    trans = rng.random((k, k)) + 0.05
+    model = (np.full(k, 1 / k), trans / trans.sum(axis=1, keepdims=True), rng.uniform(60, 80, k), rng.uniform(1, 30, k))
+    texts = ["A" * n + "N" * m + tail for n, m in ((1, 1), (2, 3), (31, 32), (63, 64), (65, 127), (128, 200), (1000, 1))
+             for tail in ("", "-", "\x00A", "😀NN\nA", "CCC")] + ["\x00", "-", "\n\n", "NNNN" * 40]
+
+    def forward(x):
+        start, trans, means, variances = model
+        emit = [-0.5 * (np.log(2 * np.pi * variances) + (ord(c) - means) ** 2 / variances) for c in x]
+        alpha = np.log(start) + emit[0]
+        for e in emit[1:]:
+            alpha = np.logaddexp.reduce(alpha[:, None] + np.log(trans), axis=0) + e
+        return np.logaddexp.reduce(alpha)
+
+    assert native_scores(spark, [(model, t) for t in texts]) == pytest.approx([forward(t) for t in texts], rel=1e-12)
+
+
 def test_semi_and_anti_joins_divide_the_observations(spark):
     features = extract_features(requests(spark, 200))
     known = models(spark, features.where("p_type = 'uri'"))

@@ -27,7 +27,7 @@ from ..operators.requests import (
 )
 from ..operators.scoring import score, with_score_parameters
 from ..operators.thresholds import alarm_columns, anomalies, outside_three_sigma, score_profiles, worst_sequences
-from ..plans.detect import detect
+from ..plans.detect import detect, observe, score_observed
 from ..plans import devices
 from ..plans.devices import count_day_device, split_lines, with_device_fields
 from ..plans.options import TrainOptions
@@ -419,8 +419,8 @@ def _named_models(features):
 
 
 def _scored(spark, sf):
-    features = _features(spark, sf)
-    return score(join_models(features, with_score_parameters(_named_models(features))))
+    observed = observe(_requests(spark, sf))
+    return score_observed(observed, _named_models(observed))
 
 
 @query
@@ -559,7 +559,8 @@ def alarm_projection(spark, sf):
 @query
 def detect_batch(spark, sf):
     requests = _requests(spark, sf)
-    alarms = detect(requests, _named_models(feat.extract_features(requests)))
+    observed = observe(requests)
+    alarms = detect(requests, _named_models(observed), observed=observed)
     return alarms.select("record_id", "p_id", "p_name", F.round("score", 6).alias("score"), "p_profile",
                          "uri", "src_ip", "flow_time", "alarm_type")
 

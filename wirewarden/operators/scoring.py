@@ -4,6 +4,11 @@ The forward recursion runs in log space as one native expression. Thresholds
 and live scores come from this same expression, so the worst training sequence
 ties exactly with its own threshold. ln and exp are bit-stable in the JVM: a
 model trained on one machine alarms the same on another.
+
+Letters and digits each collapse to one symbol, so a sequence is runs. A run of
+n symbols is one step (a matrix of transition and emission) taken n times; the
+step's powers 1, 2, 4... 64 are squared up once per model, and a run costs as
+many products as n has binary digits, plus n // 64.
 """
 
 import math
@@ -14,6 +19,11 @@ from ..functions import symbol_states
 from ..functions.symbols import DIGIT, LETTER
 
 _NEVER = float("-inf")
+# Powers of a step that a model carries: the step taken 1, 2, 4... 64 times, for
+# models of up to MOST_STATES states (k * k numbers each); larger ones go symbol by symbol.
+POWERS, MOST_STATES = 7, 8
+# Cuts a sequence into stretches of these lengths, the longest first, and other symbols.
+_STRETCH = "|".join(f"{c}{{{1 << b}}}" for c in (LETTER, DIGIT) for b in reversed(range(POWERS))) + f"|[^{LETTER}{DIGIT}]"
 
 
 def _log(p: Column) -> Column:
@@ -23,10 +33,11 @@ def _log(p: Column) -> Column:
 
 def with_score_parameters(models: DataFrame) -> DataFrame:
     """Add what scoring reads, once per model: ``lp`` log start, ``lt`` logs of
-    the transitions by destination state, ``em`` emission terms."""
+    the transitions by destination state, ``em`` emission terms, ``pw`` powers of
+    the step of a letter, then of a digit."""
     states = F.sequence(F.lit(0), F.col("n_components") - 1)
     turned = F.transform(states, lambda j: F.transform("transmat", lambda row: F.element_at(row, j + 1)))
-    return models.withColumns({
+    terms = models.withColumns({
         "lp": F.transform("startprob", _log),
         "lt": F.transform(turned, lambda into: F.transform(into, _log)),
         "em": F.zip_with(
@@ -34,6 +45,22 @@ def with_score_parameters(models: DataFrame) -> DataFrame:
             lambda m, v: _emission_terms(m, v),
         ),
     })
+    few = F.col("n_components").between(2, MOST_STATES)
+    return terms.withColumn("pw", F.when(few, F.concat(_powers("letter"), _powers("digit"))))
+
+
+def _powers(symbol: str) -> Column:
+    """Matrices by destination state, each the square of the one before."""
+    once = F.zip_with("lt", "em", lambda into, e: F.transform(into, lambda t: t + e[symbol]))
+
+    def squared(m):
+        froms = F.sequence(F.lit(0), F.size(m) - 1)
+        return F.transform(m, lambda into: F.transform(
+            froms, lambda i: _log_sum(F.zip_with(into, F.transform(m, lambda row: F.get(row, i)), lambda a, b: a + b))))
+
+    return F.aggregate(
+        F.sequence(F.lit(2), F.lit(POWERS)), F.array(once),
+        lambda found, _: F.concat(found, F.array(_let(F.element_at(found, -1), squared))))
 
 
 def _emission_terms(mean: Column, variance: Column) -> Column:
@@ -88,29 +115,30 @@ def _single_state(symbols: Column) -> Column:
     return n * e["norm"] - e["half"] * (common + F.when(none_left, F.lit(0.0)).otherwise(others))
 
 
-def _two_states(states: Column) -> Column:
-    """The recursion written out for the most frequent size above one: one
-    exponential and one logarithm per state and symbol, always in log space, so
-    that every model goes by one formula. A path that can't be taken is minus
-    infinity, never null.
-    """
-    lt, em = F.col("lt"), F.col("em")
+def _steps(symbols: Column) -> Column:
+    """The steps behind the first symbol, stretch by stretch: a power's place in
+    ``pw``, or -1 minus the code of a symbol that has none."""
+    def of(stretch):
+        power = F.bit_count(F.length(stretch) - 1)
+        first = F.ascii(stretch)
+        return F.when(first == ord(LETTER), power).when(first == ord(DIGIT), power + POWERS).otherwise(F.lit(-1) - first)
 
-    def log_add(a, b):
-        top = F.greatest(a, b)
-        return F.when(top == _NEVER, top).otherwise(top + F.log1p(F.exp(F.least(a, b) - top)))
+    return F.transform(F.regexp_extract_all(F.substr(symbols, F.lit(2)), F.lit(_STRETCH), F.lit(0)), of)
 
-    def into(j, alpha, x):
-        return log_add(alpha["a"] + lt[j][0], alpha["b"] + lt[j][1]) + _emission(em[j], x)
 
-    first = F.struct(*[
-        (F.col("lp")[j] + _emission(em[j], states[0])).alias(n) for j, n in enumerate("ab")
-    ])
-    rest = F.slice(states, F.lit(2), F.size(states))
-    last = F.aggregate(
-        rest, first, lambda alpha, x: F.struct(into(0, alpha, x).alias("a"), into(1, alpha, x).alias("b"))
-    )
-    return _let(last, lambda v: log_add(v["a"], v["b"]))
+def _moved(alpha: Column, into: Column) -> Column:
+    return _log_sum(F.zip_with(alpha, into, lambda a, t: a + t))
+
+
+def _run_by_run(symbols: Column) -> Column:
+    """The recursion over runs, always in log space. A path that can't be taken is
+    minus infinity, never null."""
+    def step(alpha, at):
+        return F.when(at >= 0, F.transform(F.get("pw", at), lambda into: _moved(alpha, into))).otherwise(F.zip_with(
+            "lt", "em", lambda into, e: _moved(alpha, into) + _emission(e, F.lit(-1) - at)))
+
+    first = F.zip_with("lp", "em", lambda p, e: p + _emission(e, F.ascii(symbols)))
+    return _log_sum(F.aggregate(_steps(symbols), first, step))
 
 
 def _any_states(states: Column) -> Column:
@@ -118,10 +146,7 @@ def _any_states(states: Column) -> Column:
     first = F.zip_with(F.col("lp"), em, lambda p, e: p + _emission(e, states[0]))
 
     def step(alpha, x):
-        return F.zip_with(
-            lt, em,
-            lambda into, e: _log_sum(F.zip_with(alpha, into, lambda a, t: a + t)) + _emission(e, x),
-        )
+        return F.zip_with(lt, em, lambda into, e: _moved(alpha, into) + _emission(e, x))
 
     return _log_sum(F.aggregate(F.slice(states, F.lit(2), F.size(states)), first, step))
 
@@ -133,11 +158,10 @@ def log_likelihood(symbols: Column) -> Column:
     own it would be inlined several times where a score filter is pushed down.
     """
     k = F.size("em")
-    states = symbol_states(symbols)
     return (
         F.when(k == 1, _single_state(symbols))
-        .when(k == 2, _let(states, _two_states))
-        .otherwise(_let(states, _any_states))
+        .when(k <= MOST_STATES, _run_by_run(symbols))
+        .otherwise(_let(symbol_states(symbols), _any_states))
     )
 
 
@@ -145,4 +169,4 @@ def score(joined: DataFrame) -> DataFrame:
     """Add ``score`` to observations that carry their model's columns."""
     ready = joined if "lp" in joined.columns else with_score_parameters(joined)
     likelihood = log_likelihood(F.col("symbols"))
-    return ready.withColumn("score", likelihood).drop("lp", "lt", "em")
+    return ready.withColumn("score", likelihood).drop("lp", "lt", "em", "pw")
