@@ -58,6 +58,8 @@ def test_every_model_scores_by_its_paths(spark):
     ('{"a":1}', ["a"]), (' {"a":1,"b":{"c":2}} \n', ["a", "b"]), ("{}", []), ('{"a":1}garbage', None),
     ('{"a":1}{"b":2}', None), ('{"a":1}]x', None), ('{"a":1}}', None), ('{"a":1},{"b":2}', None), ('{"a":1}]', None),
     ('{"a":1', None), ("[1]", None), ("1", None), ("", None), ('{"a":1}}]', None), ('{"a":1},', None),
+    ('{"a":1},"b":{"c":2}', None), ('{"a":1},"v":{"c":2}', None), ('{"a":1}},{"b":{"c":2}', None), ('{"a":1}},0]', None),
+    ("{'a':1}", None), ("null", None), ('"x"', None), ('{"v":{"a":[1, 2]},"a":null}', ["v", "a"]), ('{"a":1,"a":2}', ["a", "a"]),
 ])
 def test_a_json_body_is_one_object_and_nothing_else(spark, text, names):
     row = spark.createDataFrame([(text,)], "t string").select(bodies.json_pairs(F.col("t")).alias("p")).first()

@@ -186,6 +186,50 @@ def test_robust_training_drops_outliers_by_either_path(spark):
         assert many[key].profile == pytest.approx(a.profile, rel=1e-6)
 
 
+def dropped_by_whole_fits(group):
+    """Three-sigma retraining with a whole fit for every dropped occurrence: (model, kept, drops)."""
+    symbols, weights, drops = list(group), np.array(list(group.values()), dtype=np.int64), 0
+    while True:
+        result = hmm.fit(symbols, weights, hmm.mean_distinct(symbols, weights))
+        found = hmm.scores(result[0], symbols)
+        if not hmm.outside_three_sigma(found, weights):
+            return result, dict(zip(symbols, weights.tolist())), drops
+        worst = min(range(len(symbols)), key=lambda i: (found[i], symbols[i]))
+        weights[worst] -= 1
+        drops += 1
+        if not weights[worst]:
+            del symbols[worst]
+            weights = np.delete(weights, worst)
+
+
+def many_outliers():
+    rng = np.random.default_rng(4)
+    group = {"".join(rng.choice(list("AN"), rng.integers(4, 9))): int(rng.integers(20, 60)) for _ in range(60)}
+    return group | {"<A>": 3, "A'A": 2, "A=A;A": 2, "/A/..": 4, "N%N%N%": 1}
+
+
+@pytest.mark.parametrize("group", [many_outliers(), *outlier_groups().values()])
+def test_dropping_goes_on_from_the_sums_before(monkeypatch, group):
+    """The same occurrences go as with whole fits, and the same model comes out, with fewer fits than drops."""
+    wanted, kept, drops = dropped_by_whole_fits(group)
+    fits, first = [], hmm.first_model
+    monkeypatch.setattr(hmm, "first_model", lambda *a: fits.append(1) or first(*a))
+    result, symbols, weights = hmm.fit_robust(list(group), list(group.values()))
+    assert dict(zip(symbols, weights.tolist())) == kept and drops > 0
+    assert all((a == b).all() for a, b in zip(result[0], wanted[0])) and result[1:] == wanted[1:]
+    if drops > 5:
+        assert len(fits) < drops
+
+
+def test_sums_less_a_dropped_share_are_the_sums_without_it():
+    group = many_outliers()
+    symbols, weights = list(group), np.array(list(group.values()))
+    model = hmm.fit(symbols, weights, 2)[0]
+    whole, share = hmm.added_sums(model, symbols, weights)[0], hmm.added_sums(model, symbols[-1:], np.ones(1))[0]
+    weights[-1] -= 1
+    assert (whole - share == hmm.added_sums(model, symbols, weights)[0]).all()
+
+
 def test_training_ignores_partitioning(spark, groups):
     sequences = sequences_frame(spark, groups)
     a = model_values(train_sequences(sequences))

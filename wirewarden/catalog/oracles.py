@@ -373,6 +373,7 @@ ORACLES = {
     "hidden_state_count": text("select p_id, n_components from groups", "groups"),
     "train_groups": text("select p_id, label.t as p_type, label.n as p_name, n_seq, n_components, n_symbols from groups where n_seq >= 10", "groups"),
     "train_counts": text("select cast(sum(n_seq) as bigint) as n_features, count(*) as n_parameters, count(*) filter (n_seq >= 10) as n_effective from groups", "groups"),
+    "train_counts_observed": text("select cast(sum(n_seq) as bigint) as n_features, count(*) as n_parameters, count(*) filter (n_seq >= 10) as n_effective, count(*) filter (n_seq >= 10) as n_models from groups", "groups"),
     "hmm_score": text("select record_id, p_id, states, round(score, 6) as score from scored", "scored"),
     "profile_min": text("select p_id, round(min(score), 6) as profile from scored group by p_id", "scored"),
     "score_3sigma": text("""select p_id, round(avg(score), 6) as score_mean, round(stddev_pop(score), 6) as score_std,
@@ -404,6 +405,9 @@ ORACLES = {
       where event_id % 7 <> 0 and event_id % 11 <> 0 group by 1
       union all select case when event_id % 7 = 0 then 'cut' else 'mistyped' end, count(*), false from http_records
       where event_id % 7 = 0 or event_id % 11 = 0 group by 1""", "http_records"),
+    "stream_archive_rejects": text("""select method, count(*) as n, cast(sum(flow_time) as bigint) as time_sum, true as kept
+      from http_records where event_id % 7 <> 0 group by 1
+      union all select '60', count(*), null, false from http_records where event_id % 7 = 0""", "http_records"),
     "rejected_messages": text("""select substr(message, 1, 8) as message, count(*) as n from device_messages
       where ends_with(message, '3') group by 1""", "device_messages"),
     "rejected_flows": text("""select http_type, count(*) as n from flow_records

@@ -1,7 +1,7 @@
 """The registered queries: name -> (spark, sf_dir) -> DataFrame."""
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import (
     encode_symbols,
@@ -500,6 +500,16 @@ def train_count_row(spark, sf):
 QUERIES["train_counts"] = QUERIES.pop("train_count_row")
 
 
+@query
+def train_counts_observed(spark, sf):
+    """The same numbers as metrics of the training pass."""
+    counts = Observation("training")
+    models = train_sequences(observed_sequences(derived.http_records(spark, sf)), counts=counts)
+    # one row, next to the number of models that the pass led to
+    return models.agg(F.count("*").alias("n_models")).select(
+        *[F.lit(counts.get[n]).cast("bigint").alias(n) for n in ("n_features", "n_parameters", "n_effective")], "n_models")
+
+
 def _scored_sequences(spark, sf):
     scored = _scored(spark, sf)
     return scored.groupBy("p_id", "symbols").agg(
@@ -727,6 +737,20 @@ def stream_archive(spark, sf):
     return read_archive(spark, path).select(*HTTP_FIELDS)
 
 
+@query
+def stream_archive_rejects(spark, sf):
+    """Messages of which some are cut off, read once: what is archived and what is rejected."""
+    line = F.to_json(F.struct(*HTTP_FIELDS))
+    broken = F.when(F.col("event_id") % 7 == 0, F.substring(line, 1, 60)).otherwise(line)
+    path, bad = shared_path(spark, "stream-archive"), shared_path(spark, "stream-rejects")
+    values = _messages(spark, sf, derived.http_records(spark, sf).select(broken.alias("value")))
+    jobs.archive_and_rejects_stream(values, path, bad, shared_path(spark, "progress"), trigger=_ALL).awaitTermination()
+    kept = read_archive(spark, path).groupBy("method").agg(F.count("*").alias("n"), F.sum("flow_time").alias("time_sum"))
+    lost = spark.read.text(bad).groupBy(F.length("value").cast("string").alias("method")).agg(
+        F.count("*").alias("n"), F.lit(None).cast("bigint").alias("time_sum"))
+    return kept.withColumn("kept", F.lit(True)).unionByName(lost.withColumn("kept", F.lit(False)))
+
+
 @query
 def stream_detect(spark, sf):
     """Alarms of the live job with the hand-set models, as documents."""

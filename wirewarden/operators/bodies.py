@@ -39,19 +39,22 @@ def token_pairs(text: Column, delimiter: str) -> Column:
 def json_pairs(text: Column) -> Column:
     """Top-level members in order; null for a body that is not one JSON object and nothing else.
 
-    The parser ignores what follows an object. After the object an array goes
-    on with ``,`` or ``]``, a member with ``,`` or ``}``, and a comma makes the
-    array longer: only the end of the text lets both readings succeed.
+    The parser ignores what follows the value it reads. So the body is read as
+    the first element of a list whose second is a mark, its own hash: a body that
+    ends early, or goes on behind its object, moves the mark or adds a member,
+    and none can hold its own hash. One strict parse decides and reads.
     """
-    strict = {"allowSingleQuotes": "false"}
-    members = F.from_json(text, "map<string,string>", strict)
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", strict)
-    inside = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v map<string,string>", strict)
+    mark = F.md5(text)
+    listed = F.from_json(
+        F.concat(F.lit('[{"v":'), text, F.lit('},{"'), mark, F.lit('":{}}]')),
+        "array<map<string,map<string,string>>>", {"allowSingleQuotes": "false"})
+    body = F.map_values(F.get(listed, F.lit(0)))
     pairs = F.transform(
-        F.map_entries(members),
+        F.map_entries(F.get(body, F.lit(0))),
         lambda m: F.struct(m["key"].alias("name"), F.coalesce(m["value"], F.lit("")).alias("value")),
     )
-    return F.when((F.size(listed) == 1) & inside["v"].isNotNull(), pairs)
+    alone = (F.size(listed) == 2) & (F.size(body) == 1)
+    return F.when(alone & (F.get(F.map_keys(F.get(listed, F.lit(1))), F.lit(0)) == mark), pairs)
 
 
 def xml_leaves(text: str):

@@ -1,6 +1,6 @@
 """Observations -> weighted distinct sequences -> parameter statistics."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import symbol_states
 
@@ -70,3 +70,11 @@ def sequence_stats(features: DataFrame) -> DataFrame:
     return features.select(
         "*", F.size(states).alias("n_symbols"), F.size(F.array_distinct(states)).alias("n_distinct")
     )
+
+
+def count_while_training(stats: DataFrame, counts: Observation, min_sequences: int = MIN_SEQUENCES) -> DataFrame:
+    """The numbers of ``train_counts`` as metrics of whatever job computes ``stats``
+    (a row for every parameter, those of too few sequences among them)."""
+    return stats.observe(
+        counts, F.coalesce(F.sum("n_seq"), F.lit(0)).alias("n_features"), F.count(F.lit(1)).alias("n_parameters"),
+        F.count_if(F.col("n_seq") >= min_sequences).alias("n_effective"))
