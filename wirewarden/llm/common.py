@@ -6,6 +6,7 @@ import uuid
 import pyarrow
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators.joins import sent_bytes
 from ..session import checkpoint_dir
 
 
@@ -25,13 +26,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: rows of ids or small keys up to which a table is broadcast
-BROADCAST_ROWS = 1_000_000
+#: bytes of rows up to which a table is broadcast
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is counted small; else a join shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows are measured to be small; else a join shuffles."""
+    return F.broadcast(df) if sent_bytes(df) <= limit else df
 
 
 def in_small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:

@@ -300,7 +300,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
         F.col("_n").alias("n_words"), F.coalesce("hits", none.cast(kind["hits"].dataType)).alias("hits"),
         F.array_sort(F.array_distinct(F.coalesce("items", none.cast("array<string>")))).alias("items"),
         "longest").cast(kind).alias("found")), "finds")
-    return docs.withColumn("_key", keyed).join(broadcast_if_small(finds, 100_000), "_key").drop("_key")
+    return docs.withColumn("_key", keyed).join(broadcast_if_small(finds), "_key").drop("_key")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -104,13 +104,17 @@ def with_stats(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
         "base_failed", fails_rules())
 
 
-def host_verdicts(stats: DataFrame, worst_rate: float = 0.9, least_docs: int = 20) -> DataFrame:
+#: a host of which more than this share fails is rejected: at most one passing document goes with each failing one
+WORST_RATE = 0.5
+
+
+def host_verdicts(stats: DataFrame, worst_rate: float = WORST_RATE, least_docs: int = 20) -> DataFrame:
     """(host, docs, failed, shrunk_rate, host_kept) from rows of (host, base_failed).
 
     The prior is Beta(a, b) with the mean and variance of the hosts' rates
     (method of moments; one pseudo-document where the variance says nothing).
     A host is rejected when its shrunk rate exceeds ``worst_rate`` over at least
-    ``least_docs`` documents: such a host has next to nothing to keep.
+    ``least_docs`` documents: by then it loses fewer good documents than bad ones.
     """
     hosts = stats.where(F.col("host").isNotNull()).groupBy("host").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
@@ -140,7 +144,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
 
 
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, columns unchanged; texts are read once and not shuffled."""
+    """The rows of ``docs`` that ``judge`` keeps, columns unchanged; texts are read once
+    and not shuffled. Rows that repeat are judged each, a null text fails, a null
+    host has no verdict; a host exactly at the threshold stays. No rows: no rows."""
     marked = store(with_stats(
         docs, F.col(text_col), F.struct(*docs.columns).alias("row"), F.col(host_col).cast("string").alias("host"))
         .select("row", "host", "base_failed"), "marked")

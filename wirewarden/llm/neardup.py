@@ -2,9 +2,10 @@
 
 A vector is described by its nearest reference points (pivots), nearest first.
 Every pair of its ``head`` nearest pivots is a posting in an inverted list, so
-two vectors meet in a list if they share two of those, and are compared if they
-share at least ``shared`` of their ``prefix`` nearest. What the index retrieves
-is verified by the cosine in double precision. The pivots are a bounded sample;
+two vectors meet in a list if they share two of those. For the vectors of a list
+the pivots that two of them share among their ``prefix`` nearest are counted,
+and only pairs that share at least ``shared`` are retrieved; these are verified
+by the cosine in double precision. The pivots are a bounded sample;
 all vectors are indexed. Recall against brute force is tested (README).
 
 Equal vectors are one class. A list longer than ``MAX_LIST`` is compared block
@@ -54,26 +55,41 @@ def _union(parent, a, b):
         parent[max(a, b)] = min(a, b)
 
 
-def _compare(unit, prefix, head, shared, least, left, right, key):
+def _pivot_bits(prefix):
+    """The nearest pivots of every vector as bits of 64-bit words."""
+    bits = np.zeros((len(prefix), int(prefix.max(initial=0)) // 64 + 1), "uint64")
+    for column in prefix.T:
+        bits[np.arange(len(prefix)), column >> 6] |= np.uint64(1) << (column & 63).astype("uint64")
+    return bits
+
+
+def _compare(unit, bits, prefix, head, shared, least, left, right, key):
     """Pairs (of row numbers, left x right or within left) that the index
     retrieves by ``key`` first and whose cosine is at least ``least``."""
     first = np.sort(prefix[:, :head], axis=1)
     for at in range(0, len(left), 512):
         block = left[at:at + 512]
-        cos = unit[block] @ unit[right].T
-        a, b = np.nonzero(cos >= least)
+        count = sum(np.bitwise_count(bits[block, w][:, None] & bits[right, w]) for w in range(bits.shape[1]))
+        a, b = np.nonzero(count >= shared)
         a, b = block[a], right[b]
         if left is right:
             a, b = a[a < b], b[a < b]
-        same = (prefix[a][:, :, None] == prefix[b][:, None, :]).any(2).sum(1) >= shared
-        a, b = a[same], b[same]
-        # of the lists that hold both, only that of their two smallest common pivots counts the pair
-        common = (first[a][:, :, None] == first[b][:, None, :]).any(2)
-        order = np.cumsum(common, axis=1)
-        low = first[a][np.arange(len(a)), (common & (order == 1)).argmax(1)]
-        high = first[a][np.arange(len(a)), (common & (order == 2)).argmax(1)]
-        own = (low == key[0]) & (high == key[1])
-        yield a[own], b[own]
+        for some in range(0, len(a), 1 << 16):
+            x, y = a[some:some + (1 << 16)], b[some:some + (1 << 16)]
+            alike = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
+            x, y = x[alike], y[alike]
+            # of the lists that hold both, only that of their two smallest common pivots counts the pair
+            common = (first[x][:, :, None] == first[y][:, None, :]).any(2)
+            order = np.cumsum(common, axis=1)
+            low = first[x][np.arange(len(x)), (common & (order == 1)).argmax(1)]
+            high = first[x][np.arange(len(x)), (common & (order == 2)).argmax(1)]
+            own = (low == key[0]) & (high == key[1])
+            yield x[own], y[own]
+
+
+def _hashed(vector) -> list:
+    """Two columns that name a vector in a join."""
+    return [F.xxhash64(vector).alias("h"), F.xxhash64(vector, F.lit(1)).alias("h2")]
 
 
 def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -151,6 +167,7 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id"
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep", ignore_index=True)
         unit, near = _unit(frame["vec"]), np.stack(frame["near"].to_numpy())
+        bits = _pivot_bits(near)
         rep, copies = frame["rep"].to_numpy(), frame["copies"].to_numpy()
         dim, task = int(frame["dim"][0]), int(frame["task"][0])
         wanted, least_shared = min(shared, near.shape[1]), min(2, near.shape[1])
@@ -184,7 +201,7 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id"
                 a, b = np.nonzero(np.triu(cos, 1) if left is right else cos)
                 found.append((left[a], right[b]))
             else:
-                found.extend(_compare(unit, near, head, wanted, least, left, right, key))
+                found.extend(_compare(unit, bits, near, head, wanted, least, left, right, key))
         links, parent = np.zeros(len(frame), "int64"), list(range(len(frame)))
         for a, b in found:
             np.add.at(links, a, copies[b])
@@ -209,10 +226,11 @@ def near_duplicates(table: DataFrame, least: float = 0.9, id_col: str = "vec_id"
         F.col("node").alias("rep"), "component")
     by_class = (
         classes.select("vec", "rep", "copies").join(totals, "rep", "left").join(found, "rep", "left")
-        .select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        .select(*_hashed("vec"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                 F.coalesce("component", "rep").alias("component_id")))
     return (
-        rows.where(good).join(by_class, "vec").select("vec_id", "n_links", "component_id")
+        rows.where(good).select("vec_id", *_hashed("vec")).join(by_class, ["h", "h2"])
+        .select("vec_id", "n_links", "component_id")
         .unionByName(rows.where(~good).select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
         .withColumn("kept", F.col("vec_id") == F.col("component_id"))

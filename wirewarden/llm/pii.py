@@ -27,11 +27,13 @@ FORMS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: groups of digits with single spaces, dots, hyphens or brackets between them; or
 #: a run of word characters with a digit or an @ sign
-TOKEN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
+TOKEN = (r"(?<![A-Za-z0-9@._%+-])\(?[0-9]{1,4}+\)?(?:[\x20.-]?\(?(?<![0-9])[0-9]{1,4}+\)?)++(?![A-Za-z0-9@_%+])"
+         r"|(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+")
 #: distinct seeds that make a pattern, least confidence of a pattern, rounds, digits of a token without @
 SUPPORT, CONFIDENCE, ROUNDS, DIGITS = 3, 0.8, 3, 4
-#: code points in front of an entity that its context is taken from
+#: code points in front of an entity that its context is taken from; a context that would begin before them is none
 REACH = 80
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -117,12 +119,41 @@ def tokens(text: Column, taken: Column) -> Column:
 
 def context(text: Column, start: Column) -> Column:
     """What stands in front of a span: the label attached to it (a:...) or the
-    two words before it (b:...), in lower case; null where there is neither."""
+    two words before it (b:...), in lower case; null where there is neither, or
+    where it is longer than ``REACH`` less one."""
     before = F.lower(F.substring(text, F.greatest(start - REACH + 1, F.lit(1)), F.least(start, F.lit(REACH))))
     attached = F.regexp_extract(before, r"([^\x20\x09-\x0D]{2,})$", 1)
     two = F.regexp_extract(before, r"([^\x20\x09-\x0D]+)\x20([^\x20\x09-\x0D]+)\x20$", 0)
-    return F.when((attached != "") & attached.rlike(r"\p{L}"), F.concat(F.lit("a:"), attached)).when(
-        (two != "") & two.rlike(r"\p{L}"), F.concat(F.lit("b:"), F.rtrim(two)))
+
+    def whole(found):
+        return (F.length(found) < REACH) & found.rlike(r"\p{L}")
+
+    return F.when(whole(attached), F.concat(F.lit("a:"), attached)).when(
+        whole(two), F.concat(F.lit("b:"), F.rtrim(two)))
+
+
+def uses(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(context, uses) of every ``wanted`` context: how often the texts hold it in front
+    of anything, by the rule of ``context``. Two words, each of no white space, with a
+    single space between and behind them; or a proper beginning of a word."""
+    text, blank = F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]"
+    two, label = (wanted.where(F.startswith("context", F.lit(k))) for k in ("b:", "a:"))
+
+    def pair(w, x, i):
+        first = F.regexp_extract(F.get(w, i - 1), r"([^\x20\x09-\x0D]+)$", 1)
+        inner = (i > 0) & (i < F.size(w) - 1) & (x != "") & ~x.rlike(blank)
+        return F.when(inner & (first != ""), F.concat(F.lit("b:"), first, F.lit(" "), x))
+
+    found = docs.select(F.explode(_bind(F.split(text, r"\x20"), lambda w: F.transform(
+        w, lambda x, i: pair(w, x, i)))).alias("context"))
+    found = found.join(broadcast_if_small(two), "context", "left_semi")
+    sizes = [r[0] for r in label.select(F.length("context") - 2).distinct().collect()]  # fewer than REACH
+    if sizes:
+        words = docs.select(F.explode(F.split(text, blank)).alias("w"))
+        begun = words.select(F.explode(F.array(*[F.when(
+            F.length("w") > n, F.concat(F.lit("a:"), F.substring("w", 1, n))) for n in sizes])).alias("context"))
+        found = found.unionByName(begun.join(broadcast_if_small(label), "context", "left_semi"))
+    return found.groupBy("context").agg(F.count(F.lit(1)).alias("uses"))
 
 
 def _with_context(text: Column, spans: Column) -> Column:
@@ -135,8 +166,8 @@ def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(context, kind, confidence) of the patterns that may discover entities.
 
     ``found`` has the seeds and tokens of every document with their contexts,
-    ``docs`` the texts, in which all occurrences of two-word contexts are
-    counted, whatever follows them. Scores are sums over the whole corpus.
+    ``docs`` the texts, in which all occurrences of contexts are counted,
+    whatever follows them. Scores are sums over the whole corpus.
     """
     mentions = (
         found.select(F.explode(F.concat("seeds", "tokens")).alias("m")).select("m.kind", "m.value", "m.context")
@@ -154,12 +185,7 @@ def learn_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     if induced.isEmpty():
         return induced.select("context", "kind", F.lit(0.0).alias("confidence"))
 
-    wanted = induced.where("context like 'b:%'").select("context").distinct()
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\x20")
-    pairs = docs.select(F.explode(_bind(words, lambda w: F.transform(
-        w, lambda x, i: F.when(i > 0, F.concat(F.lit("b:"), F.get(w, i - 1), F.lit(" "), x))))).alias("context"))
-    counted = pairs.join(broadcast_if_small(wanted), "context", "left_semi").groupBy("context").agg(
-        F.count(F.lit(1)).alias("uses"))
+    counted = uses(docs, store(induced.select("context").distinct(), "contexts"))
     totals = store(
         induced.select("context", "mentions").distinct().join(counted, "context", "left")
         .select("context", F.greatest("mentions", F.coalesce("uses", F.lit(0))).alias("total")), "totals")

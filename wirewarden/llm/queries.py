@@ -123,7 +123,7 @@ judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base
 hosts as (select source, count(*) as docs, count(*) filter (base_failed) as failed from judged where source is not null group by 1),
 prior as (select avg(failed / docs) as m, var_pop(failed / docs) as v from hosts),
 weighed as (select m, case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1.0 end as k from prior),
-verdicts as (select source, (failed + m * k) / (docs + k) > 0.9 and docs >= 20 as bad from hosts, weighed)
+verdicts as (select source, (failed + m * k) / (docs + k) > 0.5 and docs >= 20 as bad from hosts, weighed)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not coalesce(bad, false) as kept
 from judged left join verdicts using (source)

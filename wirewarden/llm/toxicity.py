@@ -13,6 +13,8 @@ from .labelled import SAMPLE, WORD, Hasher, fit_in_one_task, labelled_sample, sc
 
 #: hash buckets of terms, most terms in the model, least chi-square and documents of a term, length of vectors
 BUCKETS, TERMS, LEAST_CHI, LEAST_DOCS, RANK = 1 << 20, 4096, 15.0, 4, 8
+#: the most frequent terms whose pairs are tried, and the least chi-square of a pair (two million are tried)
+PAIRED, LEAST_PAIR = 2000, 40.0
 EPOCHS, BATCH, RATE = 30, 128, 0.02
 
 
@@ -30,7 +32,8 @@ def terms(text: str) -> np.ndarray:
 
 
 def select_terms(labels, rows):
-    """Buckets whose documents differ most from the rest in their labels, by chi-square."""
+    """Buckets whose documents differ most from the rest in their labels, by
+    chi-square, and those that do so only next to another one."""
     flat = np.concatenate([*rows, np.empty(0, "int64")]).astype("int64")
     marks = np.repeat(labels, [len(r) for r in rows])
     df = np.bincount(flat, minlength=BUCKETS).astype(float)
@@ -41,7 +44,37 @@ def select_terms(labels, rows):
         chi = n * (hit * (n - p - miss) - miss * (p - hit)) ** 2 / (df * (n - df) * p * (n - p))
     chi = np.where((df >= LEAST_DOCS) & np.isfinite(chi), chi, 0)
     order = np.lexsort((np.arange(BUCKETS), -chi))[:TERMS]
-    return np.sort(order[chi[order] >= LEAST_CHI])
+    single = order[chi[order] >= LEAST_CHI]
+    return np.unique(np.concatenate([single, paired_terms(labels, rows, df)]))
+
+
+def paired_terms(labels, rows, df):
+    """Terms of pairs whose documents' labels differ from what the two terms alone
+    explain: the labels' deviation, summed over documents that hold both or neither
+    less those that hold one, in units of its spread."""
+    n = len(labels)
+    frequent = np.lexsort((np.arange(BUCKETS), -np.minimum(df, n - df)))[:PAIRED]
+    frequent = np.sort(frequent[np.minimum(df, n - df)[frequent] >= LEAST_DOCS])
+    if not len(frequent):
+        return frequent
+    place = np.full(BUCKETS, -1)
+    place[frequent] = np.arange(len(frequent))
+    together = np.zeros((len(frequent), len(frequent)), "float32")
+    share = (df[frequent] / n).astype("float32")
+    deviation = (labels - labels.mean()).astype("float32")
+    for at in range(0, n, 1000):
+        part = np.repeat(-share[None], len(rows[at:at + 1000]), axis=0)
+        for i, row in enumerate(rows[at:at + 1000]):
+            held = place[row]
+            part[i, held[held >= 0]] += 1
+        together += (part * deviation[at:at + 1000, None]).T @ part
+    spread = share * (1 - share)
+    chi = together ** 2 / np.maximum(n * deviation.var() * np.outer(spread, spread), 1e-9)
+    # a term next to itself says nothing
+    np.fill_diagonal(chi, 0)
+    a, b = np.nonzero(chi >= LEAST_PAIR)
+    best = np.argsort(-chi[a, b], kind="stable")[:TERMS]
+    return np.unique(frequent[np.concatenate([a[best], b[best]])])
 
 
 def machine(bias, weight, vector, flat, starts):
