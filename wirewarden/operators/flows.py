@@ -43,41 +43,47 @@ def classify(text: Column) -> Column:
     )
 
 
-def flow_tuple(path: Column) -> dict:
-    """flow_time, addresses and ports, without the zero padding of the file name."""
+def name_numbers(path: Column) -> Column:
+    """The eleven numbers of a flow's file name (time, address and port of both
+    sides), read once; null where the name isn't of that form."""
     name = F.substring(F.substring_index(path, "/", -1), 1, _NAME_LENGTH)
+    numbers = F.regexp_extract_all(name, F.lit("[0-9]+"), F.lit(0))
+    return F.when(name.rlike(_NAME), F.transform(numbers, lambda n: n.try_cast("bigint")))
 
-    def number(i: int) -> Column:
-        return F.regexp_extract(name, _NAME, i).try_cast("bigint").cast("string")
+
+def _located(numbers: Column) -> dict:
+    """flow_time, addresses and ports, without the zero padding of the file name."""
+    def text(i: int) -> Column:
+        return F.get(numbers, F.lit(i)).cast("string")
 
     return {
-        "flow_time": number(1).cast("bigint"),
-        "src_ip": F.concat_ws(".", *[number(i) for i in range(2, 6)]),
-        "src_port": number(6),
-        "dst_ip": F.concat_ws(".", *[number(i) for i in range(7, 11)]),
-        "dst_port": number(11),
+        "flow_time": F.get(numbers, F.lit(0)),
+        "src_ip": F.concat_ws(".", *[text(i) for i in range(1, 5)]),
+        "src_port": text(5),
+        "dst_ip": F.concat_ws(".", *[text(i) for i in range(6, 10)]),
+        "dst_port": text(10),
     }
 
 
-def _located() -> Column:
-    name = F.substring(F.substring_index("path", "/", -1), 1, _NAME_LENGTH)
-    return name.rlike(_NAME) & flow_tuple(F.col("path"))["flow_time"].isNotNull()
+def flow_tuple(path: Column) -> dict:
+    return _located(name_numbers(path))
 
 
 def rejected_flows(flows: DataFrame) -> DataFrame:
     """Flows whose file name tells no time and addresses; ``parse_flows`` leaves them out."""
-    return flows.where(~F.coalesce(_located(), F.lit(False))).select("path", F.lit("unreadable name").alias("reason"))
+    return flows.where(F.get(name_numbers(F.col("path")), F.lit(0)).isNull()).select(
+        "path", F.lit("unreadable name").alias("reason"))
 
 
-def split_messages(flows: DataFrame) -> DataFrame:
-    """One row per HTTP message of a flow: path, msg_no, kind, message."""
-    text = flows.select("path", flow_text(F.col("content")).alias("text"))
+def split_messages(flows: DataFrame, carry=("path",)) -> DataFrame:
+    """One row per HTTP message of a flow: the ``carry`` columns, msg_no, kind, message."""
+    text = flows.select(*carry, flow_text(F.col("content")).alias("text"))
     kinds = text.withColumn("kind", classify(F.col("text"))).where("kind is not null")
     parts = F.when(F.col("kind") == "Request", F.split("text", _REQUEST_START)).otherwise(
         F.split("text", _RESPONSE_START)
     )
     return (
-        kinds.select("path", F.posexplode_outer(parts).alias("msg_no", "message"))
+        kinds.select(*carry, F.posexplode_outer(parts).alias("msg_no", "message"))
         .withColumn("kind", classify(F.col("message")))
         .where("kind is not null")
     )
@@ -152,8 +158,10 @@ def parse_flows(flows: DataFrame) -> DataFrame:
     """All 19 fields of every message, plus ``record_id`` (file name and message number).
 
     A flow without a readable name is in ``rejected_flows``."""
-    messages = parse_messages(split_messages(flows.where(_located())))
-    located = messages.withColumns(flow_tuple(F.col("path"))).withColumn(
+    named = flows.withColumn("_numbers", name_numbers(F.col("path")))
+    readable = named.where(F.get("_numbers", F.lit(0)).isNotNull())
+    messages = parse_messages(split_messages(readable, ("path", "_numbers")))
+    located = messages.withColumns(_located(F.col("_numbers"))).withColumn(
         "record_id", F.concat_ws("#", F.substring_index("path", "/", -1), "msg_no")
     )
     return fill_empty(located).select("record_id", *HTTP_FIELDS)
