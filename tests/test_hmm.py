@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from wirewarden.operators import hmm
-from wirewarden.operators.joins import join_keyed, join_models, latest_models
+from wirewarden.operators.joins import hot_keys, join_keyed, join_models, latest_models
 from wirewarden.operators.scoring import score, with_score_parameters
 from wirewarden.operators.training import fit_large
 from wirewarden.operators.thresholds import score_profiles
@@ -267,6 +267,29 @@ def test_salted_join_equals_broadcast_join(spark):
     assert "_salt" in plan and "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
 
 
+def test_only_hot_keys_are_copied(spark):
+    # 9,000 keys of one row and one of 3,000, beside a key that no fact has; keys are int here and bigint there
+    facts = cut(spark.range(12_000).select(
+        F.when(F.col("id") < 3000, F.lit(-1)).otherwise(F.col("id")).cast("int").alias("k"), "id"))
+    keyed = cut(facts.select(F.col("k").cast("bigint").alias("k")).distinct().where("k % 10 <> 0")
+                .unionByName(spark.range(-2, -1).select(F.col("id").alias("k"))).withColumn("v", F.col("k") * 2))
+    for how in ("inner", "left_semi", "left_anti"):
+        wanted = sorted(map(tuple, join_keyed(facts, keyed, "k", F.col("id"), how=how).select("id", "k").collect()))
+        joined = join_keyed(facts, keyed, "k", F.col("id"), limit=0, salts=8, how=how)
+        assert sorted(map(tuple, joined.select("id", "k").collect())) == wanted
+    hashed = hot_keys(facts.select(F.xxhash64(F.col("k").cast("bigint")).alias("h")))
+    assert hashed == [r.h for r in spark.range(1).select(F.xxhash64(F.lit(-1).cast("bigint")).alias("h")).collect()]
+    salted = join_keyed(facts, keyed, "k", F.col("id"), limit=0, salts=8)
+    generate = next(line for line in salted._jdf.queryExecution().optimizedPlan().toString().splitlines() if "explode" in line)
+    assert "CASE WHEN" in generate
+    # all but the hot key are sent once, and without a hot key nothing is salted
+    cold = facts.where("k >= 0")
+    assert hot_keys(cold.select(F.xxhash64("k").alias("h"))) == [] and hot_keys(cold.limit(0).select(F.col("id").alias("h"))) == []
+    plain = join_keyed(cold, keyed, "k", F.col("id"), limit=0, salts=8)
+    assert "_salt" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plain.count() == cold.join(keyed, "k").count()
+
+
 def test_x24_latest_version_wins(spark):
     rows = [("a", "1", "2024-01-01 00:00:00", 1), ("a", "2", "2024-01-02 00:00:00", 2), ("a", "3", "2024-01-02 00:00:00", 3), ("b", "1", None, 4)]
     df = spark.createDataFrame(rows, "p_id string, model_version string, t string, n int")

@@ -6,6 +6,10 @@ from ..session import cut
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+#: a key with more than one of so many fact rows is hot, so there are fewer hot keys than this
+HOT_KEYS = 1024
+#: keys that a sketch of a task follows; a key is missed only below 7 / SKETCH_KEYS of the rows, under half of hot
+SKETCH_KEYS = 16384
 
 
 def _bytes(value: Column, kind: T.DataType) -> Column:
@@ -33,16 +37,41 @@ def join_keyed(facts: DataFrame, keyed: DataFrame, on, spread: Column, limit: in
 
     ``keyed`` must be a stored table or a checkpoint: its size is measured by one
     aggregation over all its columns. Up to ``limit`` it is broadcast and the
-    facts do not move. Beyond it both sides are shuffled on the key and a salt,
-    ``spread`` choosing the salt of a fact row, so the rows of one key are
-    divided over ``salts`` tasks.
+    facts do not move. Beyond it both sides are shuffled on the key. A frequency
+    sketch over the facts' keys names the hot ones; these alone are copied
+    ``salts`` times, and ``spread`` chooses the copy that a fact row meets, so
+    the rows of a hot key are divided over ``salts`` tasks and every other key
+    is sent once. ``facts`` are read twice then and should be stored; those of a
+    stream can't be, and all their keys count as hot.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if sent_bytes(keyed) <= limit:
         return facts.join(F.broadcast(keyed), keys, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    # one hash on both sides, whatever type a side keeps its keys in
+    key = F.xxhash64(*[F.col(k).cast(keyed.schema[k].dataType) for k in keys])
+    if facts.isStreaming:
+        hot = F.lit(True)
+    else:
+        named = hot_keys(facts.select(key.alias("_key")))
+        if not named:
+            return facts.join(keyed.hint("merge"), keys, how)
+        hot = key.isin(named)
+    salt = F.when(hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    sent = keyed.withColumn("_salt", F.explode(copies))
+    return facts.withColumn("_salt", salt).join(sent.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(hashes: DataFrame) -> list[int]:
+    """The values of the one long column ``hashes`` that hold more than a HOT_KEYS-th of the rows.
+
+    A sketch of each task is merged, so no row moves; a count may be an
+    overestimate, which makes a key hot that isn't and costs its copies.
+    """
+    (column,) = hashes.columns
+    found, rows = hashes.agg(
+        F.expr(f"approx_top_k({column}, {HOT_KEYS}, {SKETCH_KEYS})"), F.count(F.lit(1))).first()
+    return [r["item"] for r in found if r["count"] * HOT_KEYS > rows]
 
 
 def model_bytes() -> Column:
