@@ -421,6 +421,11 @@ ORACLES = {
       nullif(data, '') as data from (select distinct on (""" + _FIELDS + """) * from http_records)""", "http_records"),
     "stream_counts": text("""select strftime(make_timestamp(cast(split_part(split_part(message, chr(1), 1), chr(2), 2) as bigint) * 1000), '%Y-%m-%d')
       || '|' || split_part(split_part(message, chr(1), 2), chr(2), 2) as day_device, cast(count(*) as bigint) as n from device_messages group by 1""", "device_messages"),
+    "stream_late_counts": text(""", timed as (select make_timestamp(cast(split_part(split_part(message, chr(1), 1), chr(2), 2) as bigint) * 1000) as sent,
+        split_part(split_part(message, chr(1), 2), chr(2), 2) as device from device_messages),
+      told as (select strftime(sent, '%Y-%m-%d') as day, device, cast(floor(epoch(sent)) as bigint) % 2 = 1
+        and cast(sent as date) < (select max(cast(sent as date)) from timed where cast(floor(epoch(sent)) as bigint) % 2 = 0) - 1 as late from timed)
+      select day, device, late, cast(count(*) as bigint) as n from told group by all""", "device_messages"),
     "em_sums": text("select p_id, n_seq, " + ", ".join(
         f"case when abs(loglik / n_seq) > 1e5 and abs({c} / n_seq) < 1e5 then round({c} / n_seq, 3) + 0.0 else {_digits(f'{c} / n_seq')} end as {c}"
         for c in _EM_SUMS) + " from em_total", "em_total"),

@@ -785,3 +785,23 @@ def stream_counts(spark, sf):
         F.regexp_extract("value", r"^\('(.*)', (\d+)\)$", 1).alias("day_device"),
         F.regexp_extract("value", r"^\('(.*)', (\d+)\)$", 2).cast("bigint").alias("n"))
     return read.groupBy("day_device").agg(F.sum("n").alias("n"))
+
+
+@query
+def stream_late_counts(spark, sf):
+    """A queue that is read, goes on and is read again: counts, and messages that come days too late.
+
+    Messages of odd seconds arrive after all others; both runs are one job with one progress.
+    """
+    path, inbox, progress = (shared_path(spark, n) for n in ("late-counts", "messages", "progress"))
+    second = F.floor(devices.message_millis(F.col("message")) / 1000)
+    messages = derived.device_messages(spark, sf).withColumn("odd", F.pmod(second, F.lit(2)))
+    for odd in (0, 1):
+        part = messages.where(F.col("odd") == odd).select(F.to_json(F.struct("message")).alias("value"))
+        part.write.mode("append").text(inbox)
+        values = read_text_stream(spark, inbox, files_per_trigger=1 << 30)  # what is there is one batch
+        jobs.count_and_late_stream(values, path, progress, trigger=_ALL).awaitTermination()
+    late = with_device_fields(jobs.device_lines(jobs.read_late(spark, path)))
+    late = late.groupBy("day", "device").agg(F.count("*").alias("n"))
+    return jobs.read_counts(spark, path).withColumn("late", F.lit(False)).unionByName(
+        late.withColumn("late", F.lit(True)))
