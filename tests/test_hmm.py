@@ -221,6 +221,66 @@ def test_dropping_goes_on_from_the_sums_before(monkeypatch, group):
         assert len(fits) < drops
 
 
+def overlapping(seed, k):
+    """Sequences of a chain over six symbols, whose states can't be told apart early."""
+    rng = np.random.default_rng(seed)
+    steps, found = rng.dirichlet(np.full(6, 0.6), 6), set()
+    for _ in range(80):
+        at = [int(rng.integers(6))]
+        for _ in range(rng.integers(4, 30)):
+            at.append(int(rng.choice(6, p=steps[at[-1]])))
+        found.add("".join("ANC/<="[i] for i in at))
+    symbols = sorted(found)
+    return symbols, rng.integers(1, 20, len(symbols)), k
+
+
+def test_accelerated_em_needs_fewer_rounds_and_loses_no_likelihood():
+    def rounds_and_likelihood(symbols, weights, k, **more):
+        model, _, n_iter, converged = hmm.fit(symbols, weights, k, **more)
+        assert converged
+        return n_iter, float((hmm.scores(model, symbols) * weights).sum())
+    plain, fast = [], []
+    for seed in range(24):
+        group = overlapping(seed, 2 + seed % 4)
+        plain.append(rounds_and_likelihood(*group))
+        fast.append(rounds_and_likelihood(*group, accelerate=True))
+        assert fast[-1][1] > plain[-1][1] - 2 * hmm.TOLERANCE
+    slow = [i for i, (n, _) in enumerate(plain) if n >= 40]
+    assert slow and sum(fast[i][0] for i in slow) <= 0.7 * sum(plain[i][0] for i in slow)
+    assert sum(n for n, _ in fast) < sum(n for n, _ in plain)
+
+
+def test_accelerated_em_never_falls_and_keeps_distributions():
+    symbols, weights, k = overlapping(8, 2)
+    parts = list(hmm.blocks(symbols, weights, k))
+    ascent, seen, jumps, done = hmm.Ascent(hmm.first_model(parts, k), accelerate=True), [], 0, False
+    while not done:
+        before = ascent.model
+        assert before[0].sum() == pytest.approx(1) and before[1].sum(axis=1) == pytest.approx(1)
+        assert (before[0] >= 0).all() and (before[1] >= 0).all() and (before[3] > 0).all()
+        done = ascent.take(hmm.as_sums(sum(hmm.expectation(before, x, w)[0] for _, x, w in parts)))
+        jumps += ascent._fallback is not None
+        seen.append(ascent.loglik)
+    assert jumps and seen == sorted(seen)
+    # a leap that loses is taken back: EM goes on from the step before it
+    ascent = hmm.Ascent(hmm.first_model(parts, k), accelerate=True)
+    while ascent._fallback is None:
+        ascent.take(hmm.as_sums(sum(hmm.expectation(ascent.model, x, w)[0] for _, x, w in parts)))
+    step, known = ascent._fallback, ascent.loglik
+    sums = hmm.as_sums(sum(hmm.expectation(step, x, w)[0] for _, x, w in parts))
+    sums[0] = known - 1
+    assert not ascent.take(sums) and ascent.model is step and ascent.loglik == known
+
+
+def test_accelerated_training_is_the_same_on_both_paths(spark, groups):
+    symbols, weights, _ = overlapping(8, 2)
+    sequences = sequences_frame(spark, groups | {"slow": dict(zip(symbols, map(int, weights)))})
+    one = model_values(train_sequences(sequences, TrainOptions(accelerate=True)))
+    many = model_values(train_sequences(sequences, TrainOptions(accelerate=True, group_cells=150)))
+    for key, a in one.items():
+        assert all(getattr(many[key], f) == getattr(a, f) for f in ("n_iter", "converged", "means", "vars", "startprob", "transmat", "profile"))
+
+
 def test_sums_less_a_dropped_share_are_the_sums_without_it():
     group = many_outliers()
     symbols, weights = list(group), np.array(list(group.values()))
