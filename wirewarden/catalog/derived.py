@@ -23,6 +23,9 @@ HAND_MODELS = {
 }
 # The two-state model that the EM steps start from.
 EM_MODEL = ([0.6, 0.4], [[0.7, 0.3], [0.2, 0.8]], [65.0, 78.0], [4.0, 9.0])
+# The two-state model that several rounds start from, wide enough for every symbol, and their number.
+EM_WIDE_MODEL = ([0.5, 0.5], [[0.6, 0.4], [0.4, 0.6]], [60.0, 80.0], [100.0, 150.0])
+EM_ROUNDS = 3
 # Every event whose id is a multiple of 97 carries an injected value in ``v``.
 ATTACK_STEP = 97
 

@@ -9,7 +9,7 @@ import math
 from ..functions.symbols import cjk_class, digit_class
 from ..functions.text import WHITESPACE
 from ..schemas import ALARM_TYPE, HTTP_FIELDS
-from .derived import EM_MODEL, HAND_MODELS, duckdb_ctes, duckdb_quote
+from .derived import EM_MODEL, EM_ROUNDS, EM_WIDE_MODEL, HAND_MODELS, duckdb_ctes, duckdb_quote
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 _FILLED = [f for f in HTTP_FIELDS if f != "flow_time"]
@@ -225,6 +225,65 @@ VIEWS.update({
       select p_id, cast(sum(weight) as bigint) as n_seq, {', '.join(f"sum(weight * {c}) as {c}" for c in _EM_SUMS)}
       from sequences join em_each using (states) group by p_id"""),
 })
+# Several rounds: every parameter has a model of its own, so each step of a sequence carries it along.
+_MODEL = ["s0", "s1", "t00", "t01", "t10", "t11", "m0", "m1", "v0", "v1"]
+_WIDE = [*EM_WIDE_MODEL[0], *EM_WIDE_MODEL[1][0], *EM_WIDE_MODEL[1][1], *EM_WIDE_MODEL[2], *EM_WIDE_MODEL[3]]
+
+
+def _own_ln(x):
+    return f"ln(greatest({x}, 1e-300))"
+
+
+def _own_density(j, x):
+    return f"(-0.5 * ln(2 * pi() * v{j}) - ({x} - m{j}) * ({x} - m{j}) / (2 * v{j}))"
+
+
+def _own_into(j):
+    return _two(f"a0 + {_own_ln(f't0{j}')}", f"a1 + {_own_ln(f't1{j}')}") + " + " + _own_density(j, "st[t + 1]")
+
+
+def _own_from(i):
+    return _two(*[f"{_own_ln(f't{i}{j}')} + {_own_density(j, 'st[t]')} + b{j}" for j in (0, 1)])
+
+
+_CARRIED = ", ".join(_MODEL)
+_DEV = {j: f"exp(a{j} + b{j} - ll) * (st[t] - m{j})" for j in (0, 1)}
+VIEWS["em_own"] = (["sequences"], "select p_id, states, any_value(st) as st, sum(weight) as w from sequences group by p_id, states")
+VIEWS["em_model0"] = (["em_own"], "select p_id, " + ", ".join(
+    f"{v}::double as {n}" for n, v in zip(_MODEL, _WIDE)) + " from em_own group by p_id")
+for _r in range(EM_ROUNDS):
+    VIEWS |= {
+        f"em_fwd{_r}": (["em_own", f"em_model{_r}"], f"""
+          select p_id, states, st, {_CARRIED}, 1 as t, {_own_ln('s0')} + {_own_density(0, 'st[1]')} as a0,
+            {_own_ln('s1')} + {_own_density(1, 'st[1]')} as a1 from em_own join em_model{_r} using (p_id)
+          union all
+          select p_id, states, st, {_CARRIED}, t + 1, {_own_into(0)}, {_own_into(1)} from em_fwd{_r} where t < len(st)"""),
+        f"em_bwd{_r}": (["em_own", f"em_model{_r}"], f"""
+          select p_id, states, st, {_CARRIED}, len(st) as t, 0.0::double as b0, 0.0::double as b1
+          from em_own join em_model{_r} using (p_id)
+          union all
+          select p_id, states, st, {_CARRIED}, t - 1, {_own_from(0)}, {_own_from(1)} from em_bwd{_r} where t > 1"""),
+        f"em_sums{_r}": ([f"em_fwd{_r}", f"em_bwd{_r}", "em_own"], f"""
+          select p_id, sum(w * case when t = len(st) then ll else 0 end) as loglik, sum(case when t = 1 then w else 0 end) as n_seq,
+            {', '.join(f"sum(case when t = 1 then w * exp(a{j} + b{j} - ll) else 0 end) as start{j}" for j in (0, 1))},
+            {', '.join(f"coalesce(sum(w * exp(a{i} + {_own_ln(f't{i}{j}')} + {_own_density(j, 'st[t + 1]')} + next{j} - ll)), 0) as x{i}{j}" for i in (0, 1) for j in (0, 1))},
+            {', '.join(f"sum(w * exp(a{j} + b{j} - ll)) as mass{j}" for j in (0, 1))},
+            {', '.join(f"sum(w * {_DEV[j]}) as first{j}" for j in (0, 1))},
+            {', '.join(f"sum(w * {_DEV[j]} * (st[t] - m{j})) as second{j}" for j in (0, 1))},
+            {', '.join(f"any_value({n}) as {n}" for n in _MODEL)}
+          from (select f.*, b0, b1, w, lead(b0) over places as next0, lead(b1) over places as next1,
+              last_value({_two('a0', 'a1')}) over (places rows between unbounded preceding and unbounded following) as ll
+            from em_fwd{_r} f join em_bwd{_r} b using (p_id, states, t) join em_own o using (p_id, states)
+            window places as (partition by p_id, states order by t))
+          group by p_id"""),
+        f"em_model{_r + 1}": ([f"em_sums{_r}"], f"""
+          select p_id, n_seq, loglik,
+            {', '.join(f"start{j} / (start0 + start1) as s{j}" for j in (0, 1))},
+            {', '.join(f"case when x{i}0 + x{i}1 > 0 then x{i}{j} / (x{i}0 + x{i}1) else 0 end as t{i}{j}" for i in (0, 1) for j in (0, 1))},
+            {', '.join(f"case when mass{j} > 0 then m{j} + first{j} / mass{j} else m{j} end as m{j}" for j in (0, 1))},
+            {', '.join(f"case when mass{j} > 0 then (0.01 + greatest(second{j} - first{j} / mass{j} * first{j}, 0)) / mass{j} else v{j} end as v{j}" for j in (0, 1))}
+          from em_sums{_r}"""),
+    }
 _BASE = {
     "http_requests": [], "http_records": ["http_requests"],
     "flow_raw": ["http_requests"], "device_messages": [],
@@ -436,4 +495,10 @@ ORACLES = {
         *[f"case when mass{j} > 0.01 then {_digits(f'{_MEANS[j]} + first{j} / mass{j}')} end as means{j}" for j in (0, 1)],
         *[f"case when mass{j} > 0.01 then {_digits(f'(0.01 + greatest(second{j} - first{j} / mass{j} * first{j}, 0)) / mass{j}')} end as vars{j}" for j in (0, 1)],
     ]) + " from em_total", "em_total"),
+    # a state that is never left moves on uniformly once the fit has ended
+    "em_rounds": text(f"select p_id, {EM_ROUNDS} as n_iter, {_digits('loglik / n_seq')} as loglik, " + ", ".join([
+        *[f"{_digits(f's{j}')} as startprob{j}" for j in (0, 1)],
+        *[f"case when t{i}0 + t{i}1 = 0 then 0.5 else {_digits(f't{i}{j}')} end as transmat{2 * i + j}" for i in (0, 1) for j in (0, 1)],
+        *[f"{_digits(f'{c}{j}')} as {name}{j}" for c, name in (("m", "means"), ("v", "vars")) for j in (0, 1)],
+    ]) + f" from em_model{EM_ROUNDS}", f"em_model{EM_ROUNDS}"),
 }

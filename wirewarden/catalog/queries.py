@@ -34,7 +34,7 @@ from ..plans.options import TrainOptions
 from ..plans.train import observed_sequences, train_groups, train_sequences
 from ..schemas import HTTP_FIELDS, MODELS
 from ..session import cut, shared_path
-from ..operators.training import SameModel, expectation_sums, repaired, stepped
+from ..operators.training import SameModel, expectation_sums, fit_large, repaired, stepped
 from ..sources.queue import queue_messages, read_text_stream
 from ..sources.sinks import DocumentSink, read_documents
 from ..sources import tables
@@ -714,6 +714,21 @@ def em_step(spark, sf):
         "p_id", *[F.when(weight > 0.01, _digits(value)).alias(name) for name, (weight, value) in stated.items()])
 
 
+@query
+def em_rounds(spark, sf):
+    """Three rounds of the distributed training: every parameter from the same two-state model to one of its own."""
+    rows = cut(_sequences(spark, sf))
+    stats = cut(parameter_stats(rows).withColumn("n_components", F.lit(2)))
+    start, trans, means, variances = (F.lit(part) for part in derived.EM_WIDE_MODEL)
+    starts = cut(stats.select("p_id", "n_components", start.alias("startprob"), trans.alias("transmat"),
+                              means.alias("means"), variances.alias("vars")))
+    fitted = fit_large(rows, stats, max_iter=derived.EM_ROUNDS, tolerance=float("-inf"), starts=starts)
+    parts = {"startprob": F.col("startprob"), "transmat": F.flatten("transmat"), "means": F.col("means"), "vars": F.col("vars")}
+    return fitted.join(stats.select("p_id", "n_seq"), "p_id").select(
+        "p_id", "n_iter", _digits(F.col("loglik") / F.col("n_seq")).alias("loglik"),
+        *[_digits(c[i]).alias(f"{name}{i}") for name, c in parts.items() for i in range(4 if name == "transmat" else 2)])
+
+
 # streams over files, run until all input is read ------------------------------------
 
 _ALL = {"availableNow": True}
