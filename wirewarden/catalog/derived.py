@@ -5,10 +5,12 @@ device messages are built from them row by row: their size grows with the
 tables. One SQL text per view serves Spark and, through ``duckdb_ctes``, DuckDB.
 """
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import url_quote
 from ..schemas import HTTP_FIELDS
+from ..sources.documents import file_system
 from ..session import spread
 
 QUOTED_FIELDS = ["referer", "host", "cookie", "uri", "user_agent", "content_type", "data"]
@@ -134,6 +136,20 @@ def flow_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql).select("path", F.col("content").cast("binary").alias("content"))
 
 
+def flow_files(spark: SparkSession, sf_dir: str, path: str):
+    """The same flows as files of a folder; a file written twice is the same file."""
+    def put(batches):
+        system, root = file_system(path)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return flow_raw(spark, sf_dir).mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0]
+
+
 def device_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "events").createOrReplaceTempView("events_in")
     return spark.sql(_fill(_MESSAGES, "spark").replace("{events}", "events_in"))

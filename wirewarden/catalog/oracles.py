@@ -386,6 +386,8 @@ ORACLES = {
                        + " as int) as n_empty, status, data from flow_records", "flow_records"),
     "http_records_union": text("select http_type, method, status, count(*) as n, count(distinct src_ip) as n_src from flow_records group by all", "flow_records"),
     "parse_flows": text(f"select record_id, {_FIELDS} from flow_records", "flow_records"),
+    "scan_flow_files": text(f"select record_id, {_FIELDS} from flow_records", "flow_records"),
+    "stream_flow_files": text(f"select {_FIELDS} from flow_records", "flow_records"),
     "parse_json_record": text("select record_id, event_id % 7 <> 0 as parsed, " + ", ".join(
         f"case when event_id % 7 <> 0 then {f} end as {f}" for f in ("flow_time", "uri", "cookie", "data", "content_length")) + " from http_records", "http_records"),
     "filter_http_method": text("select record_id, method, uri from http_records where method in ('GET', 'POST')", "http_records"),
@@ -478,6 +480,8 @@ ORACLES = {
       from scored s join http_records r using (record_id) where s.score < s.profile""", "scored", "http_records"),
     "stream_documents": text("""select flow_time, nullif(method, '') as method, nullif(uri, '') as uri, nullif(cookie, '') as cookie,
       nullif(data, '') as data from (select distinct on (""" + _FIELDS + """) * from http_records)""", "http_records"),
+    "stream_document_source": text("""select flow_time, nullif(method, '') as method, nullif(uri, '') as uri, nullif(cookie, '') as cookie,
+      nullif(data, '') as data from (select distinct on (""" + _FIELDS + """) * from http_records)""", "http_records"),
     "stream_counts": text("""select strftime(make_timestamp(cast(split_part(split_part(message, chr(1), 1), chr(2), 2) as bigint) * 1000), '%Y-%m-%d')
       || '|' || split_part(split_part(message, chr(1), 2), chr(2), 2) as day_device, cast(count(*) as bigint) as n from device_messages group by 1""", "device_messages"),
     "stream_late_counts": text(""", timed as (select make_timestamp(cast(split_part(split_part(message, chr(1), 1), chr(2), 2) as bigint) * 1000) as sent,

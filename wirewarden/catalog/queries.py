@@ -152,6 +152,14 @@ def parse_flows(spark, sf):
     return flows.parse_flows(derived.flow_raw(spark, sf))
 
 
+@query
+def scan_flow_files(spark, sf):
+    """The flows as files of a folder, read and parsed."""
+    path = shared_path(spark, "flows")
+    derived.flow_files(spark, sf, path)
+    return flows.parse_flows(tables.read_flows(spark, path))
+
+
 @query
 def http_records_union(spark, sf):
     return parse_flows(spark, sf).groupBy("http_type", "method", "status").agg(
@@ -790,6 +798,24 @@ def stream_documents(spark, sf):
     return read_documents(spark, sink, "flow_time bigint, method string, uri string, cookie string, data string").drop("_id")
 
 
+@query
+def stream_document_source(spark, sf):
+    """The same documents through the data source, whose batches count once they are published."""
+    sink = DocumentSink("records", shared_path(spark, "documents"), format="documents", id_field="record_id")
+    jobs.index_writer_stream(_record_messages(spark, sf), sink, shared_path(spark, "progress"), trigger=_ALL).awaitTermination()
+    return read_documents(spark, sink, "flow_time bigint, method string, uri string, cookie string, data string").drop("_id")
+
+
+@query
+def stream_flow_files(spark, sf):
+    """Flow files of a folder, archived as they come."""
+    path, archive = shared_path(spark, "flows"), shared_path(spark, "stream-archive")
+    derived.flow_files(spark, sf, path)
+    values = tables.read_flow_stream(spark, path)
+    jobs.flow_stream(values, archive, shared_path(spark, "progress"), trigger=_ALL).awaitTermination()
+    return read_archive(spark, archive).select(*HTTP_FIELDS)
+
+
 @query
 def stream_counts(spark, sf):
     """Messages per day and device, added up over the micro-batches' text folders."""
