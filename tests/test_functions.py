@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from wirewarden.functions import encode_symbols, kv_name, kv_value, strip_text, symbol_states, url_quote, url_unquote, with_url_parts
+from wirewarden.functions import encode_symbols, is_cjk, kv_name, kv_value, strip_text, symbol_states, url_quote, url_unquote, with_url_parts
 from wirewarden.functions.messages import device_day_key
 
 TEXT = st.text(st.characters(exclude_categories=["Cs"], exclude_characters="\x00"), max_size=30)
@@ -89,3 +89,10 @@ def test_kv(spark, token, expected):
 def test_device_key(spark):
     messages = ["ts\u00021500000000000\u0001sn\u0002d1", "broken", "ts\u0002x\u0001sn\u0002d"]
     assert column(spark, messages, device_day_key) == ["2017-07-14|d1", None, None]
+
+
+def test_bounds_of_the_chinese_range(spark):
+    # the first and the last character of the range count, their neighbours and wider planes don't
+    values = [chr(0x4DFF), chr(0x4E00), chr(0x9FA6), chr(0x9FA7), chr(0x20000), "a" + chr(0x4E00)]
+    assert column(spark, values, is_cjk) == [False, True, True, False, False, True]
+    assert column(spark, values, encode_symbols) == [values[0], "C", "C", values[3], values[4], "AC"]
