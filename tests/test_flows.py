@@ -1,5 +1,6 @@
 """Flow parsing on hand-written flows."""
 
+import re
 from urllib.parse import unquote
 
 import pytest
@@ -69,3 +70,21 @@ def test_flow_files(spark, tmp_path):
     (tmp_path / NAME).write_bytes(b"GET /f HTTP/1.1\r\nHost: h\r\n\r\n")
     (r,) = parse_flows(read_flows(spark, str(tmp_path))).collect()
     assert (r.uri, r.src_port) == ("/f", "59474")
+
+
+def test_text_of_a_flow_is_made_once(spark, sf):
+    """No filter is pushed below the join that the text is made of, where it would be made again."""
+    from wirewarden.catalog import derived
+    plan = parse_flows(derived.flow_raw(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.split("\n") if "Join " in line]
+    assert len(joined) == 1 and plan.count("makeValid") <= 1
+
+
+@pytest.mark.parametrize("text", [
+    "POST /a HTTP/1.1\r\nHost: h\r\n\r\nx=1\n\ny=2", "POST /a HTTP/1.1\nHost: h\n\nx=1\r\n\r\ny=2",
+    "POST /a HTTP/1.1\nHost: h", "POST /a HTTP/1.1\n\n", "POST \n\nx", "GET \t /a\r\n\r\nGET /b HTTP/1.1\n\n"])
+def test_blank_line_is_the_first_of_either_kind(spark, text):
+    from wirewarden.operators import flows
+    (r,) = flows._with_parts(spark.createDataFrame([(text,)], "message string")).select("head", "body").collect()
+    wanted = [*re.split(r"(?:^|\n)\r?\n", text, maxsplit=1), ""][:2]
+    assert [r["head"], r["body"]] == wanted

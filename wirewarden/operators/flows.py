@@ -5,6 +5,8 @@ addresses. All parsing is column expressions over the flow text, so a flow is
 read once and never leaves the JVM.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import strip_text, url_quote
@@ -23,7 +25,7 @@ RESPONSE_HEADERS = {
 # (?dm): only a line feed ends a line
 _REQUEST_START = r"(?dm)(?=^(?:GET|POST) \S+ HTTP/1)"
 _RESPONSE_START = r"(?dm)(?=^HTTP/1\.1 )"
-_BLANK_LINE = r"(?d)(?:^|\n)\r?\n"
+_REQUEST_LINE = r"^(?:GET|POST) [ \t\x0B\f\r]*[^ \t\x0B\f\r\n]"
 _NAME = r"^(\d+)T" + r"(\d+)\.(\d+)\.(\d+)\.(\d+)\.(\d+)-(\d+)\.(\d+)\.(\d+)\.(\d+)\.(\d+)"
 _NAME_LENGTH = 54
 
@@ -76,12 +78,21 @@ def rejected_flows(flows: DataFrame) -> DataFrame:
 
 
 def split_messages(flows: DataFrame, carry=("path",)) -> DataFrame:
-    """One row per HTTP message of a flow: the ``carry`` columns, msg_no, kind, message."""
+    """One row per HTTP message of a flow: the ``carry`` columns, msg_no, kind, message.
+
+    A flow that is none gives no parts rather than being filtered out: a filter
+    would be pushed to wherever the text is made, and make it several times over.
+    """
     text = flows.select(*carry, flow_text(F.col("content")).alias("text"))
-    kinds = text.withColumn("kind", classify(F.col("text"))).where("kind is not null")
-    parts = F.when(F.col("kind") == "Request", F.split("text", _REQUEST_START)).otherwise(
-        F.split("text", _RESPONSE_START)
-    )
+    kinds = text.withColumn("kind", classify(F.col("text")))
+
+    def parts_by(start: str, *lines: str) -> Column:
+        # only a line that begins like a message can start another one
+        more = [F.contains("text", F.lit("\n" + line)) for line in lines]
+        return F.when(reduce(Column.__or__, more), F.split("text", start)).otherwise(F.array("text"))
+
+    parts = F.when(F.col("kind") == "Request", parts_by(_REQUEST_START, "GET ", "POST ")).when(
+        F.col("kind") == "Response", parts_by(_RESPONSE_START, "HTTP/1.1 "))
     return (
         kinds.select(*carry, F.posexplode_outer(parts).alias("msg_no", "message"))
         .withColumn("kind", classify(F.col("message")))
@@ -91,9 +102,17 @@ def split_messages(flows: DataFrame, carry=("path",)) -> DataFrame:
 
 def _with_parts(messages: DataFrame) -> DataFrame:
     """Cut a message at its first blank line into header text and body."""
-    cut = messages.withColumn("_pieces", F.split("message", _BLANK_LINE, 2))
-    body = F.coalesce(F.try_element_at("_pieces", F.lit(2)), F.lit(""))
-    return cut.withColumns({"head": F.col("_pieces")[0], "body": body}).drop("_pieces")
+    # the message with a line feed before it, so that its first line can be blank, too
+    lined = messages.withColumn("_lined", F.concat(F.lit("\n"), "message")).withColumns({
+        "_lf": F.substring_index("_lined", "\n\n", 1), "_crlf": F.substring_index("_lined", "\n\r\n", 1)})
+    by_lf = F.octet_length("_lf") < F.octet_length("_crlf")
+    cut = lined.withColumns({
+        "_front": F.when(by_lf, F.col("_lf")).otherwise(F.col("_crlf")), "_width": F.when(by_lf, 2).otherwise(3)})
+    behind = F.substr("_lined", F.length("_front") + F.col("_width") + F.lit(1))
+    return cut.withColumns({
+        "head": F.substr("_front", F.lit(2)),
+        "body": F.when(F.octet_length("_front") < F.octet_length("_lined"), behind).otherwise(F.lit("")),
+    }).drop("_lined", "_lf", "_crlf", "_front", "_width")
 
 
 def _header(name: str) -> Column:
@@ -108,7 +127,9 @@ def _second_word(line: str) -> Column:
 
 
 def _request_fields() -> dict:
-    length = _header("Content-Length").try_cast("bigint").cast("string")
+    length = _header("Content-Length")
+    # a cast that fails costs an exception, and most requests have no such line
+    length = F.when(length != "", length.try_cast("bigint").cast("string"))
     # blank lines inside a body are dropped, all its other lines are kept
     body = url_quote(F.regexp_replace("body", r"(?dm)^\r?\n", ""))
     method = F.when(F.startswith("head", F.lit("GET ")), "GET").when(
@@ -141,9 +162,9 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         name: F.when(is_request, request.get(name, F.lit(""))).otherwise(response.get(name, F.lit("")))
         for name in {**request, **response}
     }
-    rows = _with_parts(messages).withColumns({"http_type": F.col("kind"), **fields})
-    # a request line that is only a method names no resource
-    return rows.where("kind = 'Response' or (method is not null and uri <> '')").drop("head", "body", "message")
+    # a request line that is only a method names no resource; told by the message itself, not by fields cut from it
+    named = messages.where((F.col("kind") == "Response") | F.col("message").rlike(_REQUEST_LINE))
+    return _with_parts(named).withColumns({"http_type": F.col("kind"), **fields}).drop("head", "body", "message")
 
 
 def parse_requests(messages: DataFrame) -> DataFrame:
@@ -159,7 +180,8 @@ def parse_flows(flows: DataFrame) -> DataFrame:
 
     A flow without a readable name is in ``rejected_flows``."""
     named = flows.withColumn("_numbers", name_numbers(F.col("path")))
-    readable = named.where(F.get("_numbers", F.lit(0)).isNotNull())
+    # without a text there are no messages
+    readable = named.withColumn("content", F.when(F.get("_numbers", F.lit(0)).isNotNull(), F.col("content")))
     messages = parse_messages(split_messages(readable, ("path", "_numbers")))
     located = messages.withColumns(_located(F.col("_numbers"))).withColumn(
         "record_id", F.concat_ws("#", F.substring_index("path", "/", -1), "msg_no")
