@@ -153,3 +153,28 @@ def test_many_parameters_in_one_record(spark):
     uri = "/p?" + "&".join(f"k{i % (n // 2)}={i}" for i in range(n))
     rows = [r for r in extracted(spark, uri=uri) if r.p_type == "uri"]
     assert len(rows) == n // 2 and min(r.ord for r in rows) == n // 2
+
+
+def test_last_of_equal_keys_survives_in_short_and_long_records(spark):
+    """Records below and above the number of entries that are compared with each other."""
+    from pyspark.sql import functions as F
+    from wirewarden.operators.features import FEW, keep_last
+    for n in (0, 1, 7, FEW, FEW + 1, 3 * FEW):
+        made = [(f"k{i % 5}" if i % 3 else f"x{i}", "t", f"n{i}", str(i)) for i in range(n)]
+        df = spark.createDataFrame([(made,)], "_entries array<struct<key:string,p_type:string,p_name:string,value:string>>")
+        kept = keep_last(df, "_entries").first()["_entries"]
+        wanted = {m[0]: (i, *m[1:]) for i, m in enumerate(made)}
+        assert {e["key"]: (e["ord"], e["p_type"], e["p_name"], e["value"]) for e in kept} == wanted and len(kept) == len(wanted)
+
+
+def test_queries_that_join_their_observations_extract_them_once(spark, sf):
+    from wirewarden.catalog.queries import QUERIES
+    for name in ("unmodelled_features", "modelled_features", "join_feature_model"):
+        assert "events.parquet" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_json_body_is_parsed_once(spark):
+    from pyspark.sql import functions as F
+    from wirewarden.operators.bodies import json_pairs
+    df = spark.createDataFrame([('{"a":1}',)], "t string").select(json_pairs(F.col("t")).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
