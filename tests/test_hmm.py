@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -365,3 +366,24 @@ def test_dropping_reads_the_sequences_once(monkeypatch):
     result, symbols, weights = hmm.fit_robust(list(group), list(group.values()))
     assert sum(group.values()) - weights.sum() > 1
     assert all(a != b for a, b in zip(cuts, cuts[1:]))
+
+
+def test_fit_needs_memory_for_its_symbols_and_a_block():
+    numbers = np.random.default_rng(5).integers(0, 2, (16000, 32))
+    symbols = ["".join("AN"[i] for i in row) for row in numbers]
+    tracemalloc.start()
+    try:
+        hmm.fit(symbols, np.ones(len(symbols)), 2, max_iter=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # the symbols are 4 MB as numbers; a block is 2 MB for each array over its symbols and states
+    assert peak < 32 << 20
+
+
+def test_first_model_counts_block_by_block():
+    symbols, weights = ["AN.A", "NNNN", "A", "./", "AN"], [3, 1, 2, 7, 5]
+    values, counts = np.unique(np.concatenate([np.repeat(hmm.codes(s), w) for s, w in zip(symbols, weights)]), return_counts=True)
+    for k in (1, 2, 3):
+        for found, wanted in zip(hmm.first_model(list(hmm.blocks(symbols, weights, k)), k), hmm.initial_model(values, counts, k)):
+            assert np.array_equal(found, wanted)
