@@ -1,13 +1,16 @@
 """Feature extraction: a full record with known ids, and edge cases."""
 
 import json
+import re
 from urllib.parse import quote
 
 from pyspark.sql import functions as F
 
+from wirewarden.catalog import derived
 from wirewarden.functions import symbol_states
 from wirewarden.operators.features import extract_features, rejected_records
 from wirewarden.operators.requests import fill_empty, parse_json_records, sparse_document, with_record_id
+from wirewarden.plans import detect
 
 COOKIE = (
     "JSESSIONID=a449d6d0-a91d-4db4-a619-ed55239675e9; socm4ia=33SdLeElYV-1ES4bZEzfJ2msWUzGyf8G%7Cguoweibo01."
@@ -178,3 +181,23 @@ def test_json_body_is_parsed_once(spark):
     from wirewarden.operators.bodies import json_pairs
     df = spark.createDataFrame([('{"a":1}',)], "t string").select(json_pairs(F.col("t")).alias("p"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark, sf, capsys):
+    """The JVM interprets a method beyond 8,000 bytes however often it runs."""
+    records = derived.http_records(spark, sf)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for features in (extract_features(with_record_id(fill_empty(records))),
+                         extract_features(detect._keyed(detect._requests(records)), carry=("record_id", "_content"))):
+            features.explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_stored_observations_are_read_by_column(spark, sf):
+    observed = detect.observe(derived.http_records(spark, sf))
+    plan = observed.select("p_id", "symbols")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<p_id:string,symbols:string>" in plan
