@@ -167,3 +167,24 @@ def test_semi_and_anti_joins_divide_the_observations(spark):
 def test_sent_bytes_counts_nested_columns(spark):
     df = cut(spark.sql("select 'ab' as a, array(1D, 2D) as b, array(array(1D), array(2D)) as c, array(struct(1D as x)) as d, null as e"))
     assert 100 < sent_bytes(df) < 400
+
+
+def test_models_of_equal_numbers_score_a_sequence_once(spark, monkeypatch):
+    """Five hosts are five parameters a name; their models hold the same numbers but two profiles."""
+    records = requests(spark, 60).withColumn("host", F.concat(F.lit("h"), (F.col("record_id") % 5).cast("int").cast("string")))
+    records = records.withColumn("uri", F.concat(F.lit("/a?v="), F.repeat(F.lit("7"), (F.col("record_id") % 3).cast("int") + 1)))
+    observed = plan.observe(records, content=False)
+    known = models(spark, observed.where("p_name = 'v'"))
+    odd = F.col("p_id") < known.agg(F.max("p_id")).first()[0]
+    known = cut(known.withColumns({"profile": F.when(odd, 0.0).otherwise(-9.0),
+                                   "means": F.when(odd, F.array(F.lit(78.0))).otherwise(F.array(F.lit(65.0)))}))
+    given, score = [], plan.score
+    monkeypatch.setattr(plan, "score", lambda joined: given.append(joined.count()) or score(joined))
+    columns = ["record_id", "p_id", "symbols", "score", "profile", "p_name"]
+    for limit in (1 << 20, 0):
+        got = sorted(map(tuple, plan.score_observed(observed, known, limit).select(columns).collect()))
+        assert given.pop() == 2 * 3 and not given  # two sets of numbers, three sequences
+        direct = score(plan.join_models(observed, plan.model_side(known)))
+        assert got == sorted(map(tuple, direct.select(columns).collect())) and len(got) == 60
+        assert plan.score_distinct(observed, known, limit).count() == 15 and given.pop() == 6
+    assert "_content" not in observed.columns and "_content" in plan.observe(records).columns

@@ -201,3 +201,17 @@ def test_stored_observations_are_read_by_column(spark, sf):
     observed = detect.observe(derived.http_records(spark, sf))
     plan = observed.select("p_id", "symbols")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_id:string,symbols:string>" in plan
+
+
+def test_replaced_entries_leave_without_copies_of_the_arrays(spark):
+    """Tokens are cut behind the explode, and only one projection holds the arrays of entries."""
+    uri, cookie = "/p?a==b&=x&c=&a=9&flag&n=1", quote("n=7; =y; c=z; c=1=2")
+    for more in ("", "".join(f"&k{i}={i}" for i in range(40))):
+        rows = extracted(spark, uri=uri + more, cookie=cookie)
+        kept = {(r.p_type, r.p_name): (r.ord, r.p_state) for r in rows if r.p_type in ("uri", "cookie")}
+        n = 5 + more.count("&") + 1 + 1  # tokens of the line, its names, its path
+        assert kept["uri", "a"] == (3, [78]) and not {("uri", "c"), ("uri", "n"), ("uri", ""), ("uri", "flag")} & set(kept)
+        assert {name: v for (t, name), v in kept.items() if t == "cookie"} == {
+            "n": (n, [78]), "": (n + 1, [65]), "c": (n + 3, [78, 78])}
+    text = extract_features(frame(spark, [{"method": "GET", "uri": uri}]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_placed" not in text and "array_position" not in text
