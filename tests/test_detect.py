@@ -188,3 +188,13 @@ def test_models_of_equal_numbers_score_a_sequence_once(spark, monkeypatch):
         assert got == sorted(map(tuple, direct.select(columns).collect())) and len(got) == 60
         assert plan.score_distinct(observed, known, limit).count() == 15 and given.pop() == 6
     assert "_content" not in observed.columns and "_content" in plan.observe(records).columns
+
+
+def test_sequences_are_counted_before_scores_go_back(spark, sf, monkeypatch):
+    from wirewarden.catalog import queries
+    seen, back = [], queries.score_observed
+    monkeypatch.setattr(queries, "score_observed", lambda o, m: seen.append(o) or back(o, m))
+    for name in ("score_3sigma", "profile_min", "worst_sequence"):
+        assert queries.QUERIES[name](spark, sf).count() > 0
+        rows = seen.pop()
+        assert rows.count() == rows.select("p_id", "symbols").distinct().count() < rows.agg(F.sum("weight")).first()[0]

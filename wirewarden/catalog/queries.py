@@ -519,10 +519,12 @@ def train_counts_observed(spark, sf):
 
 
 def _scored_sequences(spark, sf):
-    scored = _scored(spark, sf)
-    return scored.groupBy("p_id", "symbols").agg(
-        F.count("*").alias("weight"), F.min("score").alias("score")
-    ).withColumn("center", F.lit(0.0))
+    """Weighted distinct sequences with their scores; they are counted first, so that
+    the scores go back to sequences instead of observations."""
+    observed = observe(_requests(spark, sf), content=False)
+    sequences = cut(observed.groupBy("p_id", "symbols").agg(F.count("*").alias("weight")))
+    scored = score_observed(sequences, _named_models(observed))
+    return scored.select("p_id", "symbols", "weight", "score", F.lit(0.0).alias("center"))
 
 
 @query
