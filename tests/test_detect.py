@@ -198,3 +198,17 @@ def test_sequences_are_counted_before_scores_go_back(spark, sf, monkeypatch):
         assert queries.QUERIES[name](spark, sf).count() > 0
         rows = seen.pop()
         assert rows.count() == rows.select("p_id", "symbols").distinct().count() < rows.agg(F.sum("weight")).first()[0]
+
+
+def test_sequences_are_counted_while_they_are_extracted(spark, sf, monkeypatch):
+    """No observation is written, and extraction makes keys and names outside lambdas."""
+    from wirewarden.catalog import queries
+    records, plans, kept = queries._requests(spark, sf), [], plan.stored
+    wanted = plan.observe(records, content=False).groupBy("p_id", "p_name", "symbols").count()
+    monkeypatch.setattr(plan, "stored", lambda df, name: plans.append(df) or kept(df, name))
+    counted = plan.observe_sequences(records)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, wanted.collect()))
+    (written,) = plans
+    assert set(written.columns) == {"p_id", "p_name", "symbols", "weight"}
+    text = written._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Aggregate") < text.index("Generate") and "named_struct(key" not in text

@@ -215,3 +215,40 @@ def test_replaced_entries_leave_without_copies_of_the_arrays(spark):
             "n": (n, [78]), "": (n + 1, [65]), "c": (n + 3, [78, 78])}
     text = extract_features(frame(spark, [{"method": "GET", "uri": uri}]))._jdf.queryExecution().optimizedPlan().toString()
     assert "_placed" not in text and "array_position" not in text
+
+
+def test_entries_replace_others_across_types_by_their_keys(spark):
+    """Keys of types with different orders of host, path and method, in short and long records."""
+    from wirewarden.operators.features import FEW
+    from wirewarden.functions.text import WHITESPACE, is_blank, strip_text
+    for more in ("", "".join(f"&k{i}=1" for i in range(FEW + 1))):
+        # path GETGET + method reads the same both ways, so the empty name and the path share a key
+        rows = extracted(spark, host="", uri="GETGET?=1&uri_pname=2" + more, http_type="T")
+        keys = [r.p_id for r in rows]
+        assert len(set(keys)) == len(keys) and named(rows, "uri_path") == {"": [65] * 6} and "" not in named(rows, "uri")
+        assert named(rows, "uri")["uri_pname"] == [78]
+        # without a method the list of names has the key of a parameter called like its type
+        rows = extracted(spark, method="", uri="/p?uri_pname=2&cookie_pname=3" + more, cookie="c%3D1")
+        assert "uri_pname" not in named(rows, "uri") and "cookie_pname" not in named(rows, "uri")
+        assert {"uri_pname", "cookie_pname", "cookie", "uri_path"} <= {r.p_type for r in rows}
+    texts = ["", " ", "a", " a", "a ", "　", "é", "　é ", "\x00", "~!", "\x7f ", "中\t", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip_text(F.col("t")), is_blank(F.col("t")))
+    assert [tuple(r)[1:] for r in df.collect()] == [
+        (None, None) if t is None else (t.strip(WHITESPACE), t.strip(WHITESPACE) == "") for t in texts]
+
+
+def test_rows_of_few_row_groups_are_dealt_out(spark, tmp_path):
+    """One row group in a file of many splits is read by one task."""
+    from wirewarden.session import dealt
+    rows = spark.range(40000).select(F.col("id").alias("event_id"), F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        given = spark.read.parquet(f"{tmp_path}/one")
+        assert given.rdd.getNumPartitions() >= 8 and given.groupBy(F.spark_partition_id()).count().count() == 1
+        out = dealt(given, "event_id")
+        assert out.groupBy(F.spark_partition_id()).count().count() >= 8 and out.count() == 40000
+        even = rows.repartition(8)
+        assert dealt(even, "event_id") is even
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
