@@ -184,3 +184,46 @@ def test_bad_hosts_take_their_passing_documents_with_them(spark):
     assert lost["bad"] == 30 and lost["worse"] == 15 and sum(lost.values()) == 45
     assert sum(x.base_failed for x in judged if x.source in ("bad", "worse")) == 155
     assert {x.doc_id for x in host_rules.keep_good(docs).collect()} == {x.doc_id for x in judged if x.kept}
+
+
+# disk of the Jaccard join
+
+def test_filter_of_shared_shingles_holds_them_all_and_few_others(spark):
+    r = np.random.default_rng(5)
+    own, common = r.integers(-2**63, 2**63 - 1, 40_000), r.integers(-2**63, 2**63 - 1, 500)
+    rows = [(i, np.sort(np.concatenate([own[20 * i:20 * i + 20], r.choice(common, 5, replace=False)])).tolist(), [])
+            for i in range(2000)]
+    rows.append((2000, [], []))
+    found = jaccard._shared_filter(spark.createDataFrame(rows, "sig long, rare array<long>, hot array<long>"))
+    times = np.unique(np.concatenate([np.array(x[1], "int64") for x in rows]), return_counts=True)
+    shared, alone = times[0][times[1] > 1], times[0][times[1] == 1]
+    assert len(shared) > 400 and found.may_hold(shared).all()
+    assert found.may_hold(alone).mean() < 0.05
+    none = jaccard._shared_filter(spark.createDataFrame([(1, [3, 4], [])], "sig long, rare array<long>, hot array<long>"))
+    assert not none.may_hold(np.array([3, 4, 5])).any()
+
+
+@pytest.mark.parametrize("text", ["a b c d e f", "x" * 5000, "", "one line\n" * 400, "".join(chr(0x4E00 + i * 7 % 9000) for i in range(3000)),
+                                  " ".join("".join(random.Random(i).choices("abcdefghijklmnop", k=30)) for i in range(200))])
+def test_a_packed_text_has_the_same_shingles(text):
+    data, size = jaccard._packed(text)
+    assert (jaccard._unpacked(data, size) == jaccard.shingles(text)).all()
+    assert len(data) <= max(40, len(text.encode()), 8 * len(jaccard.shingles(text)))
+
+
+@pytest.mark.parametrize("waves", [8, 0])
+def test_texts_stay_where_ids_are_beyond_a_broadcast(spark, monkeypatch, waves):
+    """Components and kept rows are the same, the scratch tables of prefixes are gone, and no text is shuffled for a join with ids."""
+    rows = contained_pairs()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_components(plain_sets(rows))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 200)
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 200)
+    monkeypatch.setattr(common, "WAVES", waves if not waves else 1000)
+    assert {i: r.component_id for i, r in by_id(jaccard.components_by_shingles(docs)).items()} == want
+    kept = jaccard.drop_duplicates(docs)
+    assert {r.doc_id for r in kept.collect()} == set(want.values())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert not waves or "SortMergeJoin" not in plan
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir() + "/prefixes-*")
+    assert not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)
