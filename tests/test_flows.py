@@ -72,6 +72,28 @@ def test_flow_files(spark, tmp_path):
     assert (r.uri, r.src_port) == ("/f", "59474")
 
 
+def test_flow_files_are_listed_by_a_task(spark, tmp_path, monkeypatch):
+    """The same rows as Spark's source, which keeps every file on the driver."""
+    from wirewarden.sources import tables
+    for name in ("NAMES", "FILES"):
+        monkeypatch.setattr(tables, name, 3)
+    for i in range(20):
+        (tmp_path / f"{i:010}T010.000.000.001.40000-010.010.010.001.00080").write_bytes(b"GET /%d HTTP/1.1\r\n\r\n" % i)
+    for hidden in (".x", "_y", "z._COPYING_"):
+        (tmp_path / hidden).write_bytes(b"GET / HTTP/1.1\r\n\r\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a b").write_bytes(b"other folder")
+    (tmp_path / "one ä").write_bytes(b"x")
+    (tmp_path / "empty").write_bytes(b"")
+    wanted = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    found = read_flows(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect())) and wanted.count() == 21
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    (tmp_path / "late").write_bytes(b"x")
+    assert found.count() == 21  # what the folder had
+    assert [r.path for r in read_flows(spark, str(tmp_path / "one ä")).collect()] == [f"file:{tmp_path}/one ä"]
+
+
 def test_text_of_a_flow_is_made_once(spark, sf):
     """No filter is pushed below the join that the text is made of, where it would be made again."""
     from wirewarden.catalog import derived
